@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from cellweave.llm import quality
+from cellweave.llm import decontaminate, linededup, mixing, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_decontamination": decontaminate.op2,
         "op5_quality_rules": quality.op5,
+        "op7_line_dedup": linededup.op7,
+        "op9_mixing": mixing.op9,
+        "op10_simhash": simhash.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": decontaminate.OP2_SQL}
