@@ -1,15 +1,17 @@
 """Main text of web pages by removal of site templates.
 
-A page is parsed once into text segments, each with the hashes of the element subtrees around it
-that could be template. Hashes are counted per host, over pages, with partial aggregation; a
-subtree that recurs on at least ``MIN_PAGES`` pages and ``SHARE`` of the host's pages is template,
-and its segments go (inside the article only containers count, at ``SHARE_INSIDE``, so that
-paragraphs of copied articles stay). What a page says of itself goes too: scripts, styles,
-navigation, asides, footers, forms and elements named as adverts, notices, menus or comments. If
-the page marks its article (or main), only that is text.
-
-Parsing is linear, in Arrow batches; no group of pages is gathered. The join back is by page and
-needs only hashes of one page at a time.
+A first pass over the pages hashes the element subtrees of each and counts the hashes per host,
+over pages, with partial aggregation; a subtree that recurs on at least ``MIN_PAGES`` pages and
+``SHARE`` of the host's pages is template (inside the article only containers count, at
+``SHARE_INSIDE``, so that paragraphs of copied articles stay). A second pass parses again and
+deletes the template subtrees. What a page says of itself goes too: scripts, styles, navigation,
+asides, footers, forms and elements named as adverts, notices, menus or comments. If the page marks
+its article (or main), only that is text.
+
+Parsing is linear, in Arrow batches; no group of pages is gathered, and no text is written or
+shuffled between the passes. As a template is on ``SHARE`` of its host's pages, a host has at most
+1 / SHARE times the mean number of subtrees of its pages; these lists are broadcast if there are
+at most ``MAX_BROADCAST_HOSTS``, else joined by host.
 
 Defined cases: null or empty html gives empty text; pages without a host share one; unclosed and
 misnested tags are closed by their parents' ends; equal rows get equal texts.
@@ -26,11 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import table, written
+from cellweave.llm.common import guarded, table, written
 
 MIN_PAGES = 5
 SHARE = 0.02
 SHARE_INSIDE = 0.2
+MAX_BROADCAST_HOSTS = 10_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -66,11 +69,15 @@ class Element:
         self.tag, self.start, self.gone, self.inside, self.first = tag, start, gone, inside, first
 
 
-def segments(source: str | None) -> list[tuple[str, list[int]]]:
-    """(text, hashes of template candidates around it) in page order; hashes of article containers are odd."""
+def segments(source: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]:
+    """Text segments in page order, each with the hashes of the subtrees around it; and the hashes of all subtrees.
+
+    Hashes of containers inside the article are odd. If there is an article, its segments are all.
+    """
     source = source or ""
     low = None
     texts: list[list] = []  # [text, inside, hashes]
+    hashes: set[int] = set()
     stack = [Element("", 0, False, False, 0)]
     articles = 0
     at = 0
@@ -81,14 +88,14 @@ def segments(source: str | None) -> list[tuple[str, list[int]]]:
 
     def close(end: int) -> None:
         e = stack.pop()
-        if e.gone or e.tag in INLINE or e.first == len(texts):
+        if e.tag in INLINE:
             return
-        if not e.inside or e.tag not in PARAGRAPHS:
+        if e.tag not in ("html", "body", "article", "main") and not (e.inside and e.tag in PARAGRAPHS):
             h = xxhash.xxh64_intdigest(source[e.start : end].encode("utf-8", "surrogatepass")) >> 2 << 1 | e.inside
+            hashes.add(h)
             for t in texts[e.first :]:
                 t[2].append(h)
-        if e.tag not in INLINE:
-            say(" ")
+        say(" ")
 
     n = len(source)
     while at < n:
@@ -142,54 +149,54 @@ def segments(source: str | None) -> list[tuple[str, list[int]]]:
             stack.append(Element(tag, m.start(), gone, inside, len(texts)))
     while len(stack) > 1:
         close(n)
-    return [(t, h) for t, inside, h in texts if inside or not articles]
+    return [(t, h) for t, inside, h in texts if inside or not articles], hashes
 
 
-def joined(parts: list[str]) -> str:
-    return " ".join(entities.unescape("".join(parts)).split())
+def text_without(source: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
+    """The page's text without template subtrees, character references decoded and white space collapsed."""
+    parts, _ = segments(source)
+    return " ".join(entities.unescape("".join(p for p, h in parts if template.isdisjoint(h))).split())
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [segments(h) for h in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column(0), b.column(1), b.column(2),
-                pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
-                pa.array([[h for _, h in f] for f in found], pa.list_(pa.list_(pa.int64()))),
-                pa.array([sorted({x for _, h in f for x in h}) for f in found], pa.list_(pa.int64())),
-            ],
-            names=["page_id", "url", "host", "parts", "around", "hashes"],
-        )
+        found = [sorted(segments(h)[1]) for h in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for parts, around, gone in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            gone = set(gone or ())
-            out.append(joined([p for p, h in zip(parts, around) if gone.isdisjoint(h)]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+        pages = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+        out = pa.array([text_without(h, set(gone or ())) for h, gone in pages], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], names=["page_id", "url", "text"])
+
+
+def host_of(url: str = "url"):
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, gone): hashes of each host's template subtrees."""
+    each = pages.select(host_of().alias("host"), "html").mapInArrow(_hashed, "host string, hashes array<bigint>")
+    # A row without a hash counts the page itself.
+    rows = each.select("host", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("h"))
+    counts = rows.groupBy("host", "h").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_PAGES) | F.col("h").isNull())
+    counts = written(counts, "counts")
+    sizes = counts.where("h is null").select("host", F.col("n").alias("pages"))
+    share = F.when(F.col("h").bitwiseAND(1) == 1, SHARE_INSIDE).otherwise(SHARE)
+    often = counts.where((F.col("n") >= MIN_PAGES) & F.col("h").isNotNull()).join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
+    return often.groupBy("host").agg(F.collect_set("h").alias("gone"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for each page row."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(
-        _parsed,
-        f"page_id {kind}, url string, host string, parts array<string>, around array<array<bigint>>, hashes array<bigint>",
+    gone = written(templates(pages), "templates").withColumnRenamed("host", "_host")
+    rows = pages.select("page_id", "url", "html", host_of().alias("_own")).join(
+        guarded(gone, gone.count(), MAX_BROADCAST_HOSTS), F.col("_own") == F.col("_host"), "left"
     )
-    rows = written(rows.withColumn("key", F.xxhash64("page_id", "url", "parts", "around")), "parsed")
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    each = rows.select("key", "host", F.explode("hashes").alias("h"))
-    counts = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).join(sizes, "host")
-    template = counts.where(
-        F.col("n") >= F.col("pages") * F.when(F.col("h").bitwiseAND(1) == 1, SHARE_INSIDE).otherwise(SHARE)
-    ).select("host", "h")
-    gone = each.join(written(template, "template"), ["host", "h"]).groupBy("key").agg(F.collect_set("h").alias("gone"))
-    out = rows.join(gone, "key", "left").select("page_id", "url", "parts", "around", "gone")
-    return out.mapInArrow(_texts, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    out = rows.select("page_id", "url", "html", "gone").mapInArrow(_texts, f"page_id {kind}, url string, text string")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
