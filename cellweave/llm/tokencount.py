@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from cellweave.llm.common import table
 
 LIMIT = 512
-CACHE = 400_000
+CACHE = 1_000_000
 #: The split that byte-level BPE of this family makes before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -62,10 +62,19 @@ class PrefixBpe:
         model = spec["model"]
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
-        self.vocabulary = {as_bytes(t) for t in model["vocab"] if all(c in letters for c in t)}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
+        # Tokens by order of making: the single bytes, then what each merge makes. A merge that makes
+        # a token anew has no number of its own; only the first can be met.
+        self.number = {bytes([b]): b for b in range(256)}
+        self.halves = [(b, b) for b in range(256)]
+        self.joined: dict[tuple[int, int], int] = {}
+        for a, b in self.ranks:
+            if a in self.number and b in self.number and a + b not in self.number:
+                self.number[a + b] = self.joined[self.number[a], self.number[b]] = len(self.halves)
+                self.halves.append((self.number[a], self.number[b]))
+        self.longest = max(map(len, self.number))
+        self.own: dict[bytes, bool] = {}
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
@@ -73,7 +82,7 @@ class PrefixBpe:
         self.counts = Counts(self)
         self.same: set[str] = set(map(chr, range(128)))
         self.other: set[str] = set()
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self._pairs: dict[tuple[int, int], bool] = {}
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Encoding by the merge rules alone, lowest rank first and leftmost first."""
@@ -85,26 +94,56 @@ class PrefixBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _valid(self, a: bytes, b: bytes) -> bool:
-        ok = self._pairs.get((a, b))
+    def _alone(self, token: bytes) -> bool:
+        """Whether a token's bytes are encoded as that token."""
+        ok = self.own.get(token)
         if ok is None:
-            if len(self._pairs) >= 2 * CACHE:
-                self._pairs.clear()
-            ok = self._pairs[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+            ok = self.own[token] = self.merge(token) == [token]
         return ok
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether two neighbouring tokens stay two: no merge across their border comes before what made them.
+
+        The merges that made both are undone, latest first; at each step the tokens that then meet at
+        the border must not have a merge that is earlier than the one undone.
+        """
+        before = len(self.halves) + 1
+        while True:
+            made = self.joined.get((a, b))
+            if made is not None and made < before:
+                return False
+            if a > b and a >= 256:
+                before, a = a, self.halves[a][1]
+            elif b >= 256:
+                before, b = b + 1, self.halves[b][0]
+            elif a >= 256:
+                before, a = a, self.halves[a][1]
+            else:
+                return True
+
     def prefix_counts(self, piece: bytes) -> list[int]:
         """Tokens of every prefix of one piece, 0 for the empty one first."""
-        count, last = [0], [b""]
+        count, last = [0], [-1]
+        number, known = self.number, self._pairs
         for j in range(1, len(piece) + 1):
             for i in range(max(0, j - self.longest), j):
-                t = piece[i:j]
-                if t in self.vocabulary and self._valid(last[i], t):
+                t = number.get(piece[i:j])
+                if t is None:
+                    continue
+                if i == 0:
+                    ok = self._alone(piece[:j])
+                else:
+                    ok = known.get((last[i], t))
+                    if ok is None:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        ok = known[last[i], t] = self._apart(last[i], t)
+                if ok:
                     count.append(count[i] + 1)
                     last.append(t)
                     break
             else:
-                raise ValueError("the vocabulary lacks a single byte")
+                raise ValueError("no token ends here")
         return count
 
     def pieces(self, text: str) -> list[str]:

@@ -17,7 +17,7 @@ def docs_of(spark, texts, lang="en"):
 
 
 def text_of(html):
-    return pagetext.joined([p for p, _ in pagetext.segments(html)])
+    return pagetext.text_without(html)
 
 
 @pytest.mark.parametrize(
