@@ -150,3 +150,10 @@ def scratch(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
         base = _OWN["dir"]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table written to a shared folder and read back: computed once, and safe from lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
