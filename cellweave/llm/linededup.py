@@ -93,7 +93,9 @@ def recurring(lines: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(id, th, dropped): for documents that lose lines, their numbers in ascending order."""
     lines = written(line_rows(docs), "lines")
-    hits = lines.join(recurring(lines), ["k1", "k2"]).where("id != first")
+    # Written first, so that the join's sides are both plain exchanges and a hot template can be split.
+    often = written(recurring(lines), "recurring")
+    hits = lines.join(often, ["k1", "k2"]).where("id != first")
     return hits.groupBy("id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
