@@ -24,8 +24,10 @@ from cellweave.llm.common import guarded, table, terms, text_hash, written
 
 WINDOW = 10
 RAREST = 3
-#: Rows of a side that may be broadcast: terms and windows of about 100 bytes, so 100 MB at most.
-MAX_BROADCAST = 1_000_000
+#: Rows of a side that may be broadcast: terms and windows of about 100 bytes, so 50 MB at most.
+MAX_BROADCAST = 500_000
+#: Occurrences of candidate windows, of about 50 bytes, that may be broadcast with their documents.
+MAX_CANDIDATES = 500_000
 
 
 def _key(words: Column) -> list[Column]:
@@ -106,8 +108,9 @@ class Index:
         """One row per document row: doc_id, th, n_words, hits (start, n, k1, k2 of each window's occurrences)."""
         found = self.candidates().groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n", "k1", "k2")).alias("c"))
         found = written(found.withColumnsRenamed({"doc_id": "d", "th": "h"}), "candidates")
+        size = found.agg(F.coalesce(F.sum(F.size("c")), F.lit(0))).first()[0]
         rows = self.docs.select("doc_id", text_hash().alias("th"), terms(F.col("text")).alias("w")).join(
-            guarded(found, found.count(), MAX_BROADCAST // 10), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left"
+            guarded(found, size, MAX_CANDIDATES), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left"
         )
         true = F.expr(
             "filter(c, x -> xxhash64(slice(w, x.start + 1, x.n)) = x.k1 and xxhash64(1, slice(w, x.start + 1, x.n)) = x.k2)"
