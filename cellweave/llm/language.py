@@ -28,6 +28,7 @@ from cellweave.llm.toxicity import held_out
 SAMPLE = 2000
 TOP = 400
 KEPT = 2000
+MAX_LANGUAGES = 10_000
 #: Bits of a letter in an n-gram's code; letters are numbered by code point modulo 2**21.
 SHIFT = 21
 CHUNK = 1 << 18
@@ -112,8 +113,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame) -> Profiles:
     rows = docs.where("lang is not null and text is not null").where(~held_out(4, 2))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    picked = rows.select("doc_id", "lang", "text").join(F.broadcast(sizes.limit(10_000)), "lang").where(
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = docs.sparkSession.createDataFrame([(r["lang"], r["size"]) for r in sizes], "lang string, size long")
+    picked = rows.select("doc_id", "lang", "text").join(F.broadcast(known), "lang").where(
         F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < F.lit(1_000_000) * SAMPLE / F.col("size")
     )
     counts = picked.select("lang", "text").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
