@@ -64,8 +64,17 @@ def rank_recall(df: DataFrame, features: list[str], k: int, by="mx", tie="mt") -
 
 
 def auc(df: DataFrame, score="score", label="label") -> DataFrame:
-    """Area under the curve by rank sums over the different scores: a row for each score, not one window over all rows."""
+    """Area under the curve by rank sums over the different scores.
+
+    Scores are cut into about 200 ranges, so running totals are taken inside a range and over the
+    ranges, and no window holds all scores.
+    """
     by = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.sum("n").over(Window.orderBy(score)) - F.col("n")
-    sums = by.withColumn("below", below).agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("n"))).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    cuts = by.agg(F.percentile_approx(score, [i / 200 for i in range(1, 200)], 10_000).alias("cuts"))
+    by = by.join(F.broadcast(cuts), F.lit(True)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(score)))).drop("cuts")
+    own = F.sum("n").over(Window.partitionBy("range").orderBy(score)) - F.col("n")
+    ranges = by.groupBy("range").agg(F.sum("n").alias("all"))
+    ranges = ranges.select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("head"))
+    by = by.withColumn("own", own).join(F.broadcast(ranges), "range").withColumn("below", F.col("own") + F.col("head"))
+    sums = by.agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("n"))).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select((F.col("s").cast("double") / (2 * F.col("p") * F.col("n"))).alias("auc"))

@@ -66,7 +66,7 @@ def conflicts(pairs: DataFrame, by="mx", score="prob") -> DataFrame:
     return pairs.withColumn("gold_score", gold).where((F.col("gt") == 0) & (F.col(score) > F.col("gold_score")))
 
 
-def mention_order(pairs: DataFrame, least: float, by="mx", score="prob") -> DataFrame:
-    """Mentions in the order they are resolved: fewest strong candidates, then highest best score."""
-    df = pairs.groupBy(by).agg(F.count_if(F.col(score) >= least).cast("long").alias("strong"), F.max(score).alias("best"))
-    return df.withColumn("place", F.row_number().over(Window.orderBy("strong", F.desc("best"), by))) if by == "mx" else df
+def mention_order(pairs: DataFrame, least: float, doc="doc", by="mx", score="prob") -> DataFrame:
+    """Mentions of each document in the order they are resolved: fewest strong candidates, then highest best score."""
+    df = pairs.groupBy(doc, by).agg(F.count_if(F.col(score) >= least).cast("long").alias("strong"), F.max(score).alias("best"))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy("strong", F.desc("best"), by)))

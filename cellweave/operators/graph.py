@@ -194,6 +194,10 @@ def resolve(edges: DataFrame, priors: DataFrame, **options) -> DataFrame:
 
 def parameter_grid(spark, alphas=11, thresholds=6, lambdas=11) -> DataFrame:
     """alpha, beta = 1 - alpha, threshold, lambda1, lambda2 = 1 - lambda1, in tenths."""
-    axis = lambda n, name, low=0: spark.range(low, low + n).select((F.col("id") / 10.0).alias(name))
-    df = axis(alphas, "alpha").crossJoin(axis(thresholds, "threshold")).crossJoin(axis(lambdas, "lambda1"))
+    n = F.col("id")
+    df = spark.range(alphas * thresholds * lambdas).select(
+        (F.floor(n / (thresholds * lambdas)) / 10.0).alias("alpha"),
+        (F.floor(n / lambdas) % thresholds / 10.0).alias("threshold"),
+        (n % lambdas / 10.0).alias("lambda1"),
+    )
     return df.withColumns({"beta": (10 - F.col("alpha") * 10) / 10.0, "lambda2": (10 - F.col("lambda1") * 10) / 10.0})

@@ -11,7 +11,7 @@ from cellweave.functions import similarity as S
 from cellweave.functions import text as T
 from cellweave.operators import html, model, pairs, recognise, stats
 from cellweave.plans import inputs as I
-from cellweave.plans.catalog import BLOCKS, STOP, TOKENS, add
+from cellweave.plans.catalog import BLOCKS, STOP, SURF2, TOKENS, add, neighbours
 from cellweave.plans.inputs import table, with_
 
 # Sources: tables are written in the format at hand and read back by the reader under test.
@@ -26,7 +26,18 @@ def page_json(s, d) -> str:
 PAGES = 'SELECT CAST(page_id AS VARCHAR) AS "docID", url, length(html) AS n FROM pages'
 page_rows = lambda df: df.select("docID", "url", F.length("fullText").cast("long").alias("n"))
 add("src_01_json_lines", lambda s, d: page_rows(R.json_lines(s, page_json(s, d))), PAGES)
-add("src_02_json_whole", lambda s, d: page_rows(R.json_whole(s, page_json(s, d))).limit(1))
+
+
+def array_files(s, d) -> str:
+    """Files that each hold one JSON array."""
+    path = R.scratch(s)
+    one = F.to_json(F.struct(F.col("page_id").cast("string").alias("docID"), "url", F.col("html").alias("fullText")))
+    rows = table(s, d, "pages").select(F.pmod(F.xxhash64("page_id"), F.lit(16)).alias("b"), one.alias("j")).groupBy("b")
+    rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value")).write.partitionBy("b").text(path)
+    return path
+
+
+add("src_02_json_whole", lambda s, d: page_rows(R.json_whole(s, f"{array_files(s, d)}/*")), PAGES)
 
 
 def by_manifest(s, d) -> DataFrame:
@@ -60,7 +71,7 @@ def documents_tables(s, d) -> DataFrame:
 DT = "SELECT DISTINCT o_orderkey, p_partkey, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45)"
 add("src_07_documents_tables", documents_tables, DT)
 add("jon_01_inner_joins", documents_tables, DT)
-add("srt_01_order_by", lambda s, d: documents_tables(s, d).orderBy("p_brand", F.desc("o_orderkey"), "p_partkey").limit(500), DT + " ORDER BY p_brand, o_orderkey DESC, p_partkey LIMIT 500")
+add("srt_01_order_by", lambda s, d: documents_tables(s, d).orderBy("p_brand", F.desc("o_orderkey"), "p_partkey"), DT + " ORDER BY p_brand, o_orderkey DESC, p_partkey")
 add("src_08_mentions", lambda s, d: items(s, d).select("l_orderkey", "l_linenumber", "l_quantity").distinct().join(orders(s, d).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"), "SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 add("src_09_agreed_gold", lambda s, d: items(s, d).groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).where("n > 1"), "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 add("src_10_id_list", lambda s, d: orders(s, d).where(F.col("o_orderkey").isin(1, 7, 33, 100, 222)).select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 7, 33, 100, 222)")
@@ -249,7 +260,11 @@ add("ctx_03_table_scale_and_unit", lambda s, d: html.parsed(table_pages(s, d)).s
 add("ctx_04_context_words", lambda s, d: html.context_words(grid_of(s, d)).select("page_id", "axis", "line", F.array_join("words", ",").alias("words")))
 add("ctx_05_table_context", lambda s, d: html.context_words(grid_of(s, d)).where("axis = 'row' and line = 0 or axis = 'col' and line = 0").groupBy("page_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("n")))
 add("ctx_06_document_context", lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.content_tokens("text"), " ").alias("x")), f"SELECT item_id, array_to_string({CONTENT(TOKENS)}, ' ') AS x FROM benchmark")
-add("ctx_09_exact_matches", lambda s, d: I.surfaces(s, d).where("id % 50 = 0").select((F.col("id") % 100).alias("g"), F.col("surface").alias("a")).join(I.surfaces(s, d).where("id % 50 = 1").select(((F.col("id") - 1) % 100).alias("g"), F.col("surface").alias("b")), "g").withColumn("x", S.jaro("a", "b")).groupBy("g").agg(F.count_if(F.col("x") > 0.9).alias("n")), with_("surfaces") + "SELECT g, count(*) FILTER (WHERE jaro_similarity(a, b) > 0.9) AS n FROM (SELECT id % 100 AS g, surface AS a FROM surfaces WHERE id % 50 = 0) JOIN (SELECT (id - 1) % 100 AS g, surface AS b FROM surfaces WHERE id % 50 = 1) USING (g) GROUP BY g")
+add(
+    "ctx_09_exact_matches",
+    lambda s, d: neighbours(s, d).withColumn("x", S.jaro("a", "b")).groupBy((F.col("id") % 100).alias("g")).agg(F.count_if(F.col("x") > 0.9).alias("n")),
+    with_("surfaces") + f"SELECT id % 100 AS g, count(*) FILTER (WHERE jaro_similarity(a, b) > 0.9) AS n FROM {SURF2} GROUP BY 1",
+)
 add("ctx_10_gold_relation", lambda s, d: I.priors(s, d).select("mx").distinct().join(pairs.first_gold(I.priors(s, d).where("gt = 1").select("mx", "func", F.col("mt").alias("seq")), ["mx"]), "mx", "left").select("mx", F.coalesce("func", F.lit("None")).alias("rel")), with_("priors") + "SELECT DISTINCT p.mx, coalesce(f.func, 'None') AS rel FROM priors p LEFT JOIN (SELECT mx, func FROM priors WHERE gt = 1 QUALIFY row_number() OVER (PARTITION BY mx ORDER BY CAST(func = 'same' AS INT), mt) = 1) f ON p.mx = f.mx")
 add("flt_17_caption_terms", lambda s, d: parts(s, d).where(F.exists(F.split("p_type", " "), lambda t: F.contains(F.lower(t), F.lit("steel")))).select("p_partkey"), "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'steel')")
 add("flt_16_selection", lambda s, d: table(s, d, "documents").where(F.size(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))) > 0).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\d+')")

@@ -114,7 +114,7 @@ add(
     with_("priors") + "SELECT mx, mt, prob FROM priors QUALIFY row_number() OVER (PARTITION BY mx ORDER BY prob DESC, mt) = 1 AND prob >= 0.5",
 )
 ORDER3 = with_("priors") + "SELECT mx, CAST(count(*) FILTER (WHERE prob >= 0.5) AS BIGINT) AS strong, max(prob) AS best"
-add("win_03_mention_order", lambda s, d: filtering.mention_order(I.priors(s, d).withColumn("doc", F.col("mx") % 100), 0.5, "mx").select("mx", "strong", "best", "place"), ORDER3 + ", CAST(row_number() OVER (ORDER BY count(*) FILTER (WHERE prob >= 0.5), max(prob) DESC, mx) AS INT) AS place FROM priors GROUP BY mx")
+add("win_03_mention_order", lambda s, d: filtering.mention_order(I.priors(s, d).withColumn("doc", F.col("mx") % 100), 0.5).select("mx", "strong", "best", "place"), ORDER3 + ", CAST(row_number() OVER (PARTITION BY mx % 100 ORDER BY count(*) FILTER (WHERE prob >= 0.5), max(prob) DESC, mx) AS INT) AS place FROM priors GROUP BY mx")
 ENT = with_("priors") + f", t AS (SELECT *, prob / sum(prob) OVER (PARTITION BY mx) AS p FROM priors), e AS (SELECT mx, {R6.format('-sum(p * ln(p))')} AS entropy FROM t GROUP BY mx)\n"
 add("win_04_entropy_order", lambda s, d: I.priors(s, d).groupBy("mx").agg(F.array_sort(F.collect_list("prob")).alias("p")).select("mx", r6(Q.entropy("p")).alias("entropy")).withColumn("place", F.row_number().over(Window.partitionBy(F.col("mx") % 50).orderBy("entropy", "mx"))), ENT + "SELECT mx, entropy, CAST(row_number() OVER (PARTITION BY mx % 50 ORDER BY entropy, mx) AS INT) AS place FROM e")
 add("win_05_top_priors", lambda s, d: filtering.top_priors(I.priors(s, d), 3).select("mx", "mt", "rank"), with_("priors") + "SELECT mx, mt, CAST(row_number() OVER (PARTITION BY mx ORDER BY prob DESC, mt) AS INT) AS rank FROM priors QUALIFY row_number() OVER (PARTITION BY mx ORDER BY prob DESC, mt) <= 3")
@@ -169,11 +169,11 @@ add("mll_04_grouped_folds", lambda s, d: I.priors(s, d).groupBy((F.col("mx") % 1
 add("prj_23_dummies", lambda s, d: pairs.dummies(I.priors(s, d).select("mx", "mt", F.expr("case mt % 4 when 0 then 'approx' when 1 then 'bound' when 2 then 'exact' end").alias("modifier"))), with_("priors") + "SELECT mx, mt, m AS modifier, CAST(m IS NOT DISTINCT FROM 'approx' AS INT) AS modapprox, CAST(m IS NOT DISTINCT FROM 'bound' AS INT) AS modbound, CAST(m IS NOT DISTINCT FROM 'exact' AS INT) AS modexact, CAST(m IS NULL AS INT) AS \"modNone\" FROM (SELECT mx, mt, CASE mt % 4 WHEN 0 THEN 'approx' WHEN 1 THEN 'bound' WHEN 2 THEN 'exact' END AS m FROM priors)")
 
 # Graphs.
-ment = lambda s, d: table(s, d, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 500).alias("start"), F.col("l_quantity").alias("value"), (F.col("l_quantity") * 2).alias("raw"))
+ment = lambda s, d: table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 500).alias("start"), F.col("l_quantity").alias("value"), (F.col("l_quantity") * 2).alias("raw"))
 add(
     "prj_16_text_edges",
     lambda s, d: graph.text_edges(ment(s, d)),
-    "WITH m AS (SELECT l_orderkey AS doc, l_linenumber AS seq, l_partkey % 500 AS start, l_quantity AS value FROM lineitem WHERE l_orderkey % 20 = 0) SELECT a.doc, a.seq AS src, b.seq AS dst, 5.0::DOUBLE / abs(a.start - b.start) AS proximity, (abs(a.value - b.value) / greatest(a.value, b.value) + abs(a.value * 2 - b.value * 2) / greatest(a.value * 2, b.value * 2)) / 2 AS value_diff FROM m a JOIN m b ON a.doc = b.doc AND a.seq < b.seq WHERE a.start <> b.start",
+    "WITH m AS (SELECT l_orderkey AS doc, l_linenumber AS seq, l_partkey % 500 AS start, l_quantity AS value FROM lineitem) SELECT a.doc, a.seq AS src, b.seq AS dst, 5.0::DOUBLE / abs(a.start - b.start) AS proximity, (abs(a.value - b.value) / greatest(a.value, b.value) + abs(a.value * 2 - b.value * 2) / greatest(a.value * 2, b.value * 2)) / 2 AS value_diff FROM m a JOIN m b ON a.doc = b.doc AND a.seq < b.seq WHERE a.start <> b.start",
 )
 add(
     "prj_17_cell_edges",
@@ -192,14 +192,14 @@ add("grf_01_graph_online", lambda s, d: the_graph(s, d), GR + "SELECT * FROM g")
 add("grf_02_graph_offline", lambda s, d: graph.graph(I.edges(s, d), prior_edges(s, d), both_ways=True), GR + "SELECT doc, src, dst, prob AS w FROM pe UNION ALL SELECT doc, dst, src, prob FROM pe")
 add("grf_03_ablation_weight", lambda s, d: I.edges(s, d).select("doc", "src", "dst", r6(graph.ablation_weight(F.col("surface_sim"), F.col("value_diff"), F.col("proximity"))).alias("full"), r6(graph.ablation_weight(F.col("surface_sim"), F.col("value_diff"), F.col("proximity"), "surface")).alias("no_surface")), with_("edges") + f"SELECT doc, src, dst, {R6.format('CASE WHEN surface_sim * 0.4::DOUBLE + value_diff * 0.3::DOUBLE + proximity * 0.3::DOUBLE < 0.7::DOUBLE THEN 0 ELSE surface_sim * 0.4::DOUBLE + value_diff * 0.3::DOUBLE + proximity * 0.3::DOUBLE END')} AS full, {R6.format('CASE WHEN value_diff * 0.5::DOUBLE + proximity * 0.5::DOUBLE < 0.7::DOUBLE THEN 0 ELSE value_diff * 0.5::DOUBLE + proximity * 0.5::DOUBLE END')} AS no_surface FROM edges")
 add("grf_04_stochastic", lambda s, d: graph.stochastic(the_graph(s, d)).select("doc", "src", "dst", r6(F.col("w")).alias("w")), GR + f"SELECT doc, src, dst, {R6.format('w')} AS w FROM st")
-seeds = lambda s, d: I.edges(s, d).where("doc < 20").select("doc", F.col("src").alias("seed")).distinct()
+seeds = lambda s, d: I.edges(s, d).select("doc", F.col("src").alias("seed")).distinct()
 add("grf_05_personalisation", lambda s, d: I.edges(s, d).select("doc", "src").distinct().withColumn("mass", F.when(F.col("src") == "m1", 1.0).otherwise(0.0)), with_("edges") + "SELECT DISTINCT doc, src, CASE WHEN src = 'm1' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mass FROM edges")
-WALK = GR + ", s0 AS (SELECT DISTINCT doc, src AS seed FROM edges WHERE doc < 20), h0 AS (SELECT doc, seed, seed AS node, 1.0::DOUBLE AS mass FROM s0)"
+WALK = GR + ", s0 AS (SELECT DISTINCT doc, src AS seed FROM edges), h0 AS (SELECT doc, seed, seed AS node, 1.0::DOUBLE AS mass FROM s0)"
 for _i in range(4):
     WALK += f""", v{_i + 1} AS (SELECT h.doc, seed, dst AS node, 0.85::DOUBLE * sum(mass * w) AS mass FROM h{_i} h JOIN st ON h.doc = st.doc AND node = src GROUP BY ALL),
  h{_i + 1} AS (SELECT doc, seed, node, sum(mass) AS mass FROM (SELECT * FROM v{_i + 1} UNION ALL SELECT s0.doc, s0.seed, s0.seed, 1 - coalesce(k, 0) FROM s0 LEFT JOIN (SELECT doc, seed, sum(mass) AS k FROM v{_i + 1} GROUP BY ALL) USING (doc, seed)) GROUP BY ALL)"""
 add("grf_06_random_walk", lambda s, d: graph.walk(graph.stochastic(the_graph(s, d)), seeds(s, d), 4).select("doc", "seed", "node", r6(F.col("mass")).alias("mass")), WALK + f" SELECT doc, seed, node, {R6.format('mass')} AS mass FROM h4")
-add("grf_07_without_candidates", lambda s, d: graph.without_candidates(the_graph(s, d), seeds(s, d).where("seed = 'm1'")), GR + "SELECT * FROM g WHERE NOT (src = 'm1' AND doc < 20 AND contains(dst, '.'))")
+add("grf_07_without_candidates", lambda s, d: graph.without_candidates(the_graph(s, d), seeds(s, d).where("seed = 'm1'")), GR + "SELECT * FROM g WHERE NOT (src = 'm1' AND contains(dst, '.'))")
 add("grf_08_rescale", lambda s, d: graph.rescaled(prior_edges(s, d), ["doc", "src"], "prob").select("doc", "src", "dst", r6(F.col("prob")).alias("prob")), GR + f"SELECT doc, src, dst, {R6.format('prob / sum(prob) OVER (PARTITION BY doc, src)')} AS prob FROM pe")
 add("grf_09_joint_resolution", lambda s, d: graph.resolve(the_graph(s, d), prior_edges(s, d)))
 add("grf_10_resolution_outcomes", lambda s, d: evaluate.confusion(graph.resolve(the_graph(s, d), prior_edges(s, d)).withColumns({"func": F.lit("same"), "outcome": evaluate.outcome(F.col("cell").isNotNull(), (F.col("cell") == "t.1").cast("int"))})))
