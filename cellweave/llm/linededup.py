@@ -135,6 +135,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The same rows by templates spelled out, not hashed.
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, unnest(range(0, len(l))) AS k, unnest(l) AS line FROM d WHERE text IS NOT NULL),
+m AS (SELECT r, doc_id, k, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+  lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM x),
+n AS (SELECT *, len(t) AS n, CAST(floor(len(t) * 0.3::DOUBLE) AS INT) AS w FROM m WHERE len(t) > 0),
+keys AS (
+  SELECT r, doc_id, k, 'E' || n || ' ' || array_to_string(t, ' ') AS key, 10 AS need FROM n WHERE n < 10
+  UNION ALL SELECT r, doc_id, k, 'P' || n || ' ' || array_to_string(t[1:n - w], ' '), 2 FROM n WHERE n >= 10
+  UNION ALL SELECT r, doc_id, k, 'S' || n || ' ' || array_to_string(t[1:3], ' ') || chr(10) || array_to_string(t[w + 4:], ' '), 2 FROM n WHERE n >= 10),
+f AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= max(need)),
+gone AS (SELECT DISTINCT r, k FROM keys JOIN f USING (key) WHERE doc_id <> first),
+a AS (SELECT r, list(k ORDER BY k) AS ks FROM gone GROUP BY r)
+SELECT doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_filter(l, lambda v, i: NOT list_contains(ks, i - 1)), chr(10)) END AS text,
+  CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_dropped,
+  coalesce(array_to_string(list_transform(ks, lambda v: CAST(v AS VARCHAR)), ','), '') AS dropped
+FROM d LEFT JOIN a USING (r)
+"""
+
+
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with shorter texts, all rows and columns kept; n_chars, where present, follows the text."""
     out = without_recurring(docs)

@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.OP2_SQL}
+    return {"op2_decontamination": decontaminate.OP2_SQL, "op7_line_dedup": linededup.OP7_SQL}
