@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cellweave.functions.quantity import _c
-from cellweave.functions.text import PUNCTUATION, STOP_WORDS, _strings
+from cellweave.functions.text import PUNCTUATION, STOP_WORDS
 
 
 def edit_similarity(a, b) -> Column:
@@ -67,18 +67,23 @@ def nearest_phrase(a, b) -> Column:
     return F.when((F.size(_c(a)) == 0) | (F.size(_c(b)) == 0), 0.0).when(d == 0, 1.0).otherwise(1.0 / (d + 0.2))
 
 
-def _content(x: Column, stop, ignored) -> Column:
-    return F.filter(x, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(ignored, t) & (t != ""))
+def _counts(t: Column, stop) -> Column:
+    """Whether a token is neither empty nor a stop word nor a punctuation mark."""
+    return ~t.isin("", *stop, *PUNCTUATION)
+
+
+def _content(x: Column, stop) -> Column:
+    return F.filter(x, lambda t: _counts(t, stop))
 
 
 def content_length(a, stop=STOP_WORDS) -> Column:
-    return F.size(_content(_c(a), _strings(stop), _strings(PUNCTUATION)))
+    return F.size(_content(_c(a), stop))
 
 
 def overlap(a, b, stop=STOP_WORDS) -> Column:
     """Hits of a's content tokens in b, over the larger of hits and b's content tokens; 0 if a side is empty, 1 if nothing counts."""
     words = _c(b)
-    hits = F.size(F.filter(_content(_c(a), _strings(stop), _strings(PUNCTUATION)), lambda t: F.array_contains(words, t)))
+    hits = F.size(F.filter(_content(_c(a), stop), lambda t: F.array_contains(words, t)))
     most = F.greatest(hits, content_length(b, stop))
     return F.when((F.size(_c(a)) == 0) | (F.size(_c(b)) == 0), 0.0).when(most == 0, 1.0).otherwise(hits / most)
 
@@ -90,7 +95,7 @@ def set_overlap(a, b) -> Column:
 def jaccard(a, b, stop=STOP_WORDS) -> Column:
     words = _c(b)
     n, m = content_length(a, stop), content_length(b, stop)
-    hits = F.size(F.filter(_content(_c(a), _strings(stop), _strings(PUNCTUATION)), lambda t: F.array_contains(words, t)))
+    hits = F.size(F.filter(_content(_c(a), stop), lambda t: F.array_contains(words, t)))
     return F.coalesce(F.try_divide(hits.cast("double"), n + m - hits), F.lit(0.0))
 
 
@@ -105,13 +110,13 @@ def position_of(offset, toks) -> Column:
 
 def weighted_overlap(offset, a, b, step: int, weight: float, stop=STOP_WORDS) -> Column:
     """Hits weighted by distance from the mention, over b's content tokens."""
-    words, ignored, known = _c(b), _strings(PUNCTUATION), _strings(stop)
+    words = _c(b)
     pos = position_of(offset, a)
     sums = F.aggregate(
         F.transform(
             _c(a),
             lambda t, i: F.when(
-                F.array_contains(words, t) & ~F.array_contains(known, t) & ~F.array_contains(ignored, t) & (t != ""),
+                _counts(t, stop) & F.array_contains(words, t),
                 F.greatest(F.lit(0.0), 1.0 - F.floor(F.abs(pos - i) / step) * weight),
             ).otherwise(0.0),
         ),

@@ -18,10 +18,6 @@ TOKEN_BREAK = r"[\s.,?;()\"'!]+"
 WORD_BREAK = r"[.,:?;/()\[\]\"'\-!&\s%$#\\]+"
 
 
-def _strings(words) -> Column:
-    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-
-
 def squeeze(text) -> Column:
     """Cell text: lower case, white space runs to one space, trimmed."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -33,14 +29,12 @@ def tokens(text) -> Column:
 
 
 def content_tokens(text, stop=STOP_WORDS) -> Column:
-    words = _strings(stop)
-    return F.filter(tokens(text), lambda t: (t != "") & ~F.array_contains(words, t))
+    return F.filter(tokens(text), lambda t: (t != "") & ~t.isin(*stop))
 
 
 def content_words(text, stop=STOP_WORDS) -> Column:
     """Words by the wide delimiter class without stop words and single characters."""
-    words = _strings(stop)
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda t: (F.length(t) > 1) & ~F.array_contains(words, t))
+    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda t: (F.length(t) > 1) & ~t.isin(*stop))
 
 
 def word_set(text, stop=STOP_WORDS) -> Column:
@@ -48,15 +42,13 @@ def word_set(text, stop=STOP_WORDS) -> Column:
 
 
 def drop_stop_words(words, stop=STOP_WORDS) -> Column:
-    known = _strings(stop)
-    return F.filter(words, lambda t: (F.length(t) > 1) & ~F.array_contains(known, t))
+    return F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(*stop))
 
 
 def phrases(text, stop=STOP_WORDS) -> Column:
     """Distinct pairs of neighbouring content tokens, sorted."""
-    words = _strings(stop)
     toks = F.split(F.lower(text), r"[\s.,?;()\"']")
-    good = lambda t: (t != "") & ~F.array_contains(words, t)
+    good = lambda t: (t != "") & ~t.isin(*stop)
     pairs = F.zip_with(
         toks, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.when(b.isNotNull() & good(a) & good(b), F.concat(a, F.lit(" "), b))
     )

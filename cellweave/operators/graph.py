@@ -16,6 +16,11 @@ from cellweave.functions import similarity as S
 DAMPING = 0.85
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles taken at 12 decimals, so that it does not depend on their order."""
+    return F.sum(c.cast("decimal(26,12)")).cast("double")
+
+
 def text_edges(mentions: DataFrame) -> DataFrame:
     """Pairs of a document's mentions: proximity 5 / gap and mean relative difference. Equal offsets give no edge."""
     a, b = mentions.alias("a"), mentions.alias("b")
@@ -85,7 +90,8 @@ def ablation_weight(surface: Column, value: Column, context: Column, without: st
 
 def stochastic(g: DataFrame) -> DataFrame:
     """Out-weights of each node made to sum to 1."""
-    return g.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("doc", "src")))
+    total = F.sum(F.col("w").cast("decimal(26,12)")).over(Window.partitionBy("doc", "src")).cast("double")
+    return g.withColumn("w", F.col("w") / total)
 
 
 def walk(g: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
@@ -97,18 +103,18 @@ def walk(g: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
     here = seeds.select("doc", "seed", F.col("seed").alias("node"), F.lit(1.0).alias("mass"))
     outs = g.select("doc", F.col("src").alias("node"), "dst", "w")
     for _ in range(steps):
-        moved = here.join(outs, ["doc", "node"]).groupBy("doc", "seed", F.col("dst").alias("node")).agg((DAMPING * F.sum(F.col("mass") * F.col("w"))).alias("mass"))
-        kept = moved.groupBy("doc", "seed").agg(F.sum("mass").alias("kept"))
+        moved = here.join(outs, ["doc", "node"]).groupBy("doc", "seed", F.col("dst").alias("node")).agg((DAMPING * exact_sum(F.col("mass") * F.col("w"))).alias("mass"))
+        kept = moved.groupBy("doc", "seed").agg(exact_sum(F.col("mass")).alias("kept"))
         home = seeds.join(kept, ["doc", "seed"], "left").select(
             "doc", "seed", F.col("seed").alias("node"), (1 - F.coalesce("kept", F.lit(0.0))).alias("mass")
         )
-        here = moved.unionByName(home).groupBy("doc", "seed", "node").agg(F.sum("mass").alias("mass"))
+        here = moved.unionByName(home).groupBy("doc", "seed", "node").agg(exact_sum(F.col("mass")).alias("mass"))
     return here
 
 
 def rescaled(masses: DataFrame, by: list[str], column="mass") -> DataFrame:
     """Masses over their sum, by mention; all 0 stays 0."""
-    total = F.sum(column).over(Window.partitionBy(*by))
+    total = F.sum(F.col(column).cast("decimal(26,12)")).over(Window.partitionBy(*by)).cast("double")
     return masses.withColumn(column, F.coalesce(F.try_divide(F.col(column), total), F.lit(0.0)))
 
 

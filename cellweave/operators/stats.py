@@ -21,9 +21,13 @@ def term_counts(df: DataFrame, terms: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def most_frequent(df: DataFrame, group: str, terms: str, k: int = 50) -> DataFrame:
-    """The k most frequent terms of each group, ties by term."""
-    n = df.select(group, F.explode(terms).alias("term")).groupBy(group, "term").agg(F.count("*").alias("n"))
+def most_frequent(df: DataFrame, group: str, terms: str, k: int = 50, stop=()) -> DataFrame:
+    """The k most frequent terms of each group, ties by term; empty and stop words do not count.
+
+    Terms are dropped after they are rows: a test of rows is compiled, one inside an array is not.
+    """
+    rows = df.select(group, F.explode(terms).alias("term")).where(~F.col("term").isin("", *stop))
+    n = rows.groupBy(group, "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))
     return n.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -211,10 +211,10 @@ for n, how in (("agg_01_sum_by_key", "sum"), ("agg_02_min_by_key", "min"), ("agg
     add(n, lambda s, d, how=how: stats.merged(counted(s, d), how), COUNTED + f"SELECT name, CAST({how}(value) AS BIGINT) AS value FROM c GROUP BY name")
 add("agg_04_term_frequency", lambda s, d: stats.term_counts(table(s, d, "documents").select(T.tokens("text").alias("t")), "t"), f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents) GROUP BY term")
 add("prj_25_header_terms", lambda s, d: stats.term_counts(parts(s, d).select(F.split(F.lower("p_type"), " ").alias("t")), "t"), "SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(lower(p_type), ' '))) AS term FROM part) GROUP BY term")
-add("agg_05_tokens_by_group", lambda s, d: table(s, d, "documents").select("lang", F.explode(T.content_tokens("text")).alias("t")).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("t").alias("different")), f"SELECT lang, count(*) AS n, count(DISTINCT t) AS different FROM (SELECT lang, unnest({CONTENT(TOKENS)}) AS t FROM documents) GROUP BY lang")
+add("agg_05_tokens_by_group", lambda s, d: table(s, d, "documents").select("lang", F.explode(T.tokens("text")).alias("t")).where(~F.col("t").isin("", *T.STOP_WORDS)).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("t").alias("different")), f"SELECT lang, count(*) AS n, count(DISTINCT t) AS different FROM (SELECT lang, unnest({CONTENT(TOKENS)}) AS t FROM documents) GROUP BY lang")
 FREQ = f"SELECT lang, term, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({CONTENT(TOKENS)}) AS term FROM documents) GROUP BY ALL)) WHERE rank <= 50"
-add("agg_06_most_frequent", lambda s, d: stats.most_frequent(table(s, d, "documents").select("lang", T.content_tokens("text").alias("t")), "lang", "t"), FREQ)
-add("snk_04_frequent_words", lambda s, d: back(s, lambda p: stats.most_frequent(table(s, d, "documents").select("lang", T.content_tokens("text").alias("t")), "lang", "t").write.parquet(p), lambda p: s.read.parquet(p)), FREQ)
+add("agg_06_most_frequent", lambda s, d: stats.most_frequent(table(s, d, "documents").select("lang", T.tokens("text").alias("t")), "lang", "t", stop=T.STOP_WORDS), FREQ)
+add("snk_04_frequent_words", lambda s, d: back(s, lambda p: stats.most_frequent(table(s, d, "documents").select("lang", T.tokens("text").alias("t")), "lang", "t", stop=T.STOP_WORDS).write.parquet(p), lambda p: s.read.parquet(p)), FREQ)
 add("snk_05_term_counts", lambda s, d: back(s, lambda p: stats.term_counts(parts(s, d).select(F.split("p_type", " ").alias("t")), "t").write.parquet(p), lambda p: s.read.parquet(p)), "SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(p_type, ' '))) AS term FROM part) GROUP BY term")
 add("prj_26_relation_words", lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("quality", F.explode(T.tokens("text")).alias("t")).groupBy("quality", "t").agg(F.count("*").alias("n")), f"SELECT quality, t, count(*) AS n FROM (SELECT quality, unnest({TOKENS}) AS t FROM documents JOIN labels USING (doc_id)) GROUP BY ALL")
 add("agg_07_corpus_totals", lambda s, d: table(s, d, "documents").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.sum("n_chars").alias("total"), F.count("*").alias("docs")), "SELECT min(n_chars) AS least, max(n_chars) AS most, CAST(sum(n_chars) AS BIGINT) AS total, count(*) AS docs FROM documents")

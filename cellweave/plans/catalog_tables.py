@@ -185,7 +185,7 @@ add("prj_19_cell_distance", lambda s, d: I.grid(s, d).select("table_id", "cell_i
 prior_edges = lambda s, d: I.edges(s, d).select("doc", "src", "dst", (F.col("value_diff") / 2 + 0.25).alias("prob"))
 GR = with_("edges") + """, pe AS (SELECT doc, src, dst, value_diff / 2 + 0.25::DOUBLE AS prob FROM edges),
 g AS (SELECT doc, src, dst, prob AS w FROM pe UNION ALL SELECT doc, dst, src, 0.9::DOUBLE * proximity + (1 - 0.9::DOUBLE) * surface_sim FROM edges),
-st AS (SELECT doc, src, dst, w / sum(w) OVER (PARTITION BY doc, src) AS w FROM g)
+st AS (SELECT doc, src, dst, w / CAST(sum(CAST(w AS DECIMAL(26,12))) OVER (PARTITION BY doc, src) AS DOUBLE) AS w FROM g)
 """
 the_graph = lambda s, d: graph.graph(I.edges(s, d), prior_edges(s, d))
 add("grf_01_graph_online", lambda s, d: the_graph(s, d), GR + "SELECT * FROM g")
@@ -196,11 +196,11 @@ seeds = lambda s, d: I.edges(s, d).select("doc", F.col("src").alias("seed")).dis
 add("grf_05_personalisation", lambda s, d: I.edges(s, d).select("doc", "src").distinct().withColumn("mass", F.when(F.col("src") == "m1", 1.0).otherwise(0.0)), with_("edges") + "SELECT DISTINCT doc, src, CASE WHEN src = 'm1' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mass FROM edges")
 WALK = GR + ", s0 AS (SELECT DISTINCT doc, src AS seed FROM edges), h0 AS (SELECT doc, seed, seed AS node, 1.0::DOUBLE AS mass FROM s0)"
 for _i in range(4):
-    WALK += f""", v{_i + 1} AS (SELECT h.doc, seed, dst AS node, 0.85::DOUBLE * sum(mass * w) AS mass FROM h{_i} h JOIN st ON h.doc = st.doc AND node = src GROUP BY ALL),
- h{_i + 1} AS (SELECT doc, seed, node, sum(mass) AS mass FROM (SELECT * FROM v{_i + 1} UNION ALL SELECT s0.doc, s0.seed, s0.seed, 1 - coalesce(k, 0) FROM s0 LEFT JOIN (SELECT doc, seed, sum(mass) AS k FROM v{_i + 1} GROUP BY ALL) USING (doc, seed)) GROUP BY ALL)"""
+    WALK += f""", v{_i + 1} AS (SELECT h.doc, seed, dst AS node, 0.85::DOUBLE * CAST(sum(CAST(mass * w AS DECIMAL(26,12))) AS DOUBLE) AS mass FROM h{_i} h JOIN st ON h.doc = st.doc AND node = src GROUP BY ALL),
+ h{_i + 1} AS (SELECT doc, seed, node, CAST(sum(CAST(mass AS DECIMAL(26,12))) AS DOUBLE) AS mass FROM (SELECT * FROM v{_i + 1} UNION ALL SELECT s0.doc, s0.seed, s0.seed, 1 - coalesce(k, 0) FROM s0 LEFT JOIN (SELECT doc, seed, CAST(sum(CAST(mass AS DECIMAL(26,12))) AS DOUBLE) AS k FROM v{_i + 1} GROUP BY ALL) USING (doc, seed)) GROUP BY ALL)"""
 add("grf_06_random_walk", lambda s, d: graph.walk(graph.stochastic(the_graph(s, d)), seeds(s, d), 4).select("doc", "seed", "node", r6(F.col("mass")).alias("mass")), WALK + f" SELECT doc, seed, node, {R6.format('mass')} AS mass FROM h4")
 add("grf_07_without_candidates", lambda s, d: graph.without_candidates(the_graph(s, d), seeds(s, d).where("seed = 'm1'")), GR + "SELECT * FROM g WHERE NOT (src = 'm1' AND contains(dst, '.'))")
-add("grf_08_rescale", lambda s, d: graph.rescaled(prior_edges(s, d), ["doc", "src"], "prob").select("doc", "src", "dst", r6(F.col("prob")).alias("prob")), GR + f"SELECT doc, src, dst, {R6.format('prob / sum(prob) OVER (PARTITION BY doc, src)')} AS prob FROM pe")
+add("grf_08_rescale", lambda s, d: graph.rescaled(prior_edges(s, d), ["doc", "src"], "prob").select("doc", "src", "dst", r6(F.col("prob")).alias("prob")), GR + f"SELECT doc, src, dst, {R6.format('prob / CAST(sum(CAST(prob AS DECIMAL(26,12))) OVER (PARTITION BY doc, src) AS DOUBLE)')} AS prob FROM pe")
 add("grf_09_joint_resolution", lambda s, d: graph.resolve(the_graph(s, d), prior_edges(s, d)))
 add("grf_10_resolution_outcomes", lambda s, d: evaluate.confusion(graph.resolve(the_graph(s, d), prior_edges(s, d)).withColumns({"func": F.lit("same"), "outcome": evaluate.outcome(F.col("cell").isNotNull(), (F.col("cell") == "t.1").cast("int"))})))
 add("grf_11_parameter_grid", lambda s, d: graph.parameter_grid(s), "SELECT a / 10.0::DOUBLE AS alpha, t / 10.0::DOUBLE AS threshold, l / 10.0::DOUBLE AS lambda1, (10 - a) / 10.0::DOUBLE AS beta, (10 - l) / 10.0::DOUBLE AS lambda2 FROM range(11) x(a), range(6) y(t), range(11) z(l)")
