@@ -5,8 +5,10 @@ per document; all later steps read only those narrow rows.
 
 Method: a minimum-covariance-determinant estimate per group by concentration steps. A step takes
 the ``ALPHA`` share of a group's documents nearest to the current centre, in Mahalanobis distance,
-and re-estimates centre and covariance from them. The nearest share is found from counts of
-distance bins, so no group is sorted or gathered in one task, and sums are of scaled integers, so
+and re-estimates centre and covariance from them. Steps go on from four deterministic starts (mean
+and covariance; median and MAD; tanh scores; spatial signs, the last two about the median) until
+the determinant falls no more, and the estimate of least determinant is taken. The nearest share is
+found from counts of distance bins, so no group is sorted or gathered in one task, and sums are of scaled integers, so
 they do not depend on the order of rows. Groups are (language, source); sources of a language with
 under ``MIN_GROUP`` documents are pooled, and if still too few, pooled over languages.
 
@@ -27,7 +29,11 @@ from cellweave.llm.common import WS_CLASS, guarded, table, text_hash, written, w
 MIN_WORDS = 50
 MIN_GROUP = 60
 ALPHA = 0.75
+#: Concentration steps between two looks at the determinants.
 STEPS = 4
+#: Starts of the concentration steps, and the fall of a log determinant that counts as one.
+STARTS = 4
+FALL = 1e-6
 #: Share of a Gaussian group that may be rejected by its distance.
 TAIL = 1e-5
 #: Statistics are kept as integers of 1/SCALE.
@@ -157,21 +163,80 @@ def _moments() -> list[Column]:
 
 
 def _estimate(sums: DataFrame, consistency: float) -> DataFrame:
-    """Centre and Cholesky factor of the covariance from sums; the floor keeps it positive definite."""
-    df = sums
-    for i in range(P):
-        df = df.withColumn(f"mu_{i}", F.col(f"s_{i}") / F.col("m") / SCALE)
+    """Centre and factored covariance of each grp and start from sums."""
+    df = sums.withColumns({f"mu_{i}": F.col(f"s_{i}") / F.col("m") / SCALE for i in range(P)})
+    return _factored(
+        df.withColumns(
+            {
+                f"c_{i}_{j}": (F.col(f"s_{i}_{j}") / F.col("m") / SCALE / SCALE - F.col(f"mu_{i}") * F.col(f"mu_{j}")) * consistency
+                for i in range(P)
+                for j in range(i + 1)
+            }
+        )
+    )
+
+
+def _factored(df: DataFrame) -> DataFrame:
+    """Cholesky factor of the covariance c and its log determinant; a dimension's deviation beside those before it is its floor at least."""
     for i in range(P):
         for j in range(i + 1):
-            cov = F.col(f"s_{i}_{j}") / F.col("m") / SCALE / SCALE - F.col(f"mu_{i}") * F.col(f"mu_{j}")
-            cov = cov * consistency
-            if i == j:
-                cov = F.greatest(cov, F.lit(0.0)) + DIMS[i][1] ** 2
+            cov = F.col(f"c_{i}_{j}")
             for k in range(j):
                 cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            value = F.sqrt(F.greatest(cov, F.lit(1e-9))) if i == j else cov / F.col(f"l_{j}_{j}")
+            value = F.sqrt(F.greatest(cov, F.lit(DIMS[i][1] ** 2))) if i == j else cov / F.col(f"l_{j}_{j}")
             df = df.withColumn(f"l_{i}_{j}", value)
-    return df.select("grp", "m", *[f"mu_{i}" for i in range(P)], *[f"l_{i}_{j}" for i in range(P) for j in range(i + 1)])
+    log_det = sum((F.log(f"l_{i}_{i}") for i in range(1, P)), F.log("l_0_0")) * 2
+    return df.select(
+        "grp", "start", *[f"mu_{i}" for i in range(P)], *[f"l_{i}_{j}" for i in range(P) for j in range(i + 1)], log_det.alias("log_det")
+    )
+
+
+def _starts(stats: DataFrame, n_groups: int) -> DataFrame:
+    """The first estimates of each group, by start."""
+    names = [n for n, _ in DIMS]
+    medians = stats.groupBy("grp").agg(*[F.percentile(n, F.lit(0.5)).alias(f"med_{i}") for i, n in enumerate(names)])
+    medians = written(medians, "medians")
+    off = stats.join(guarded(medians, n_groups, MAX_BROADCAST_GROUPS), "grp")
+    mads = off.groupBy("grp").agg(
+        *[F.percentile(F.abs(F.col(n) - F.col(f"med_{i}")), F.lit(0.5)).alias(f"mad_{i}") for i, n in enumerate(names)]
+    )
+    scales = medians.join(mads, "grp").select(
+        "grp",
+        *[(F.col(f"med_{i}") / SCALE).alias(f"mu_{i}") for i in range(P)],
+        *[F.greatest(F.col(f"mad_{i}") / SCALE * 1.4826, F.lit(DIMS[i][1])).alias(f"sd_{i}") for i in range(P)],
+    )
+    scales = written(scales, "scales")
+    scored = stats.join(guarded(scales, n_groups, MAX_BROADCAST_GROUPS), "grp")
+    scored = scored.withColumns({f"_z{i}": (F.col(n) / SCALE - F.col(f"mu_{i}")) / F.col(f"sd_{i}") for i, n in enumerate(names)})
+    norm = F.sqrt(sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(1, P)), F.col("_z0") * F.col("_z0")))
+    scored = scored.withColumn("_norm", norm)
+    version = lambda start, of: F.struct(F.lit(start).alias("start"), *[of(i, n).cast("long").alias(n) for i, n in enumerate(names)])
+    versions = scored.select(
+        "grp",
+        F.explode(
+            F.array(
+                version(0, lambda i, n: F.col(n)),
+                version(2, lambda i, n: F.round(F.tanh(f"_z{i}") * SCALE)),
+                version(3, lambda i, n: F.round(F.coalesce(F.try_divide(F.col(f"_z{i}"), F.col("_norm")), F.lit(0.0)) * SCALE)),
+            )
+        ).alias("v"),
+    ).select("grp", "v.*")
+    sums = written(versions.groupBy("grp", "start").agg(*_moments()), "starts")
+    robust = sums.where("start > 0").join(scales, "grp").unionByName(scales.withColumn("start", F.lit(1)), allowMissingColumns=True)
+    # Signs have a mean square of 1 / P a dimension.
+    factor = F.when(F.col("start") == 3, float(P)).otherwise(1.0)
+    robust = robust.withColumns(
+        {
+            f"c_{i}_{j}": F.when(F.col("start") == 1, F.lit(1.0 if i == j else 0.0)).otherwise(
+                F.col(f"s_{i}_{j}") / F.col("m") / SCALE / SCALE * factor
+            )
+            * F.col(f"sd_{i}")
+            * F.col(f"sd_{j}")
+            for i in range(P)
+            for j in range(i + 1)
+        }
+    )
+    return _estimate(sums.where("start = 0"), 1.0).unionByName(_factored(robust))
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -186,22 +251,36 @@ def _distance(df: DataFrame) -> DataFrame:
 
 def fit(stats: DataFrame, n_groups: int) -> DataFrame:
     """MCD parameters of each group; ``stats`` has grp and the vector of documents that pass the base rule."""
-    params = written(_estimate(stats.groupBy("grp").agg(*_moments()), 1.0), "mcd0")
+    params = written(_starts(stats, n_groups), "mcd0")
     d_bin = F.greatest(F.lit(-400), F.floor(F.log(F.col("d2") + 1e-9) * BINS_PER_E)).cast("int")
-    for step in range(STEPS):
-        near = _distance(stats.join(guarded(params, n_groups, MAX_BROADCAST_GROUPS), "grp")).select(
-            "grp", *[n for n, _ in DIMS], d_bin.alias("bin")
-        )
-        # Sums per distance bin: a few hundred rows a group; the nearest ALPHA share is a prefix of its bins.
-        bins = near.groupBy("grp", "bin").agg(*_moments())
-        upto = Window.partitionBy("grp").orderBy("bin")
-        whole = Window.partitionBy("grp")
-        kept = bins.withColumns(
-            {"before": F.sum("m").over(upto) - F.col("m"), "all": F.sum("m").over(whole)}
-        ).where(F.col("before") < ALPHA * F.col("all"))
-        sums = kept.groupBy("grp").agg(*[F.sum(c).alias(c) for c in bins.columns if c not in ("grp", "bin")])
-        params = written(_estimate(sums, CONSISTENCY), f"mcd{step + 1}")
-    return params
+    upto = Window.partitionBy("grp", "start").orderBy("bin")
+    whole = Window.partitionBy("grp", "start")
+    found = last = None
+    step = 0
+    while True:
+        for _ in range(STEPS):
+            step += 1
+            near = _distance(stats.join(guarded(params, n_groups * STARTS, MAX_BROADCAST_GROUPS), "grp")).select(
+                "grp", "start", *[n for n, _ in DIMS], d_bin.alias("bin")
+            )
+            # Sums per distance bin: a few hundred rows a group; the nearest ALPHA share is a prefix of its bins.
+            bins = near.groupBy("grp", "start", "bin").agg(*_moments())
+            kept = bins.withColumns(
+                {"before": F.sum("m").over(upto) - F.col("m"), "all": F.sum("m").over(whole)}
+            ).where(F.col("before") < ALPHA * F.col("all"))
+            sums = kept.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in bins.columns if c not in ("grp", "start", "bin")])
+            params = written(_estimate(sums, CONSISTENCY), f"mcd{step}")
+        found = params if found is None else found.unionByName(params)
+        if last is not None:
+            before = last.select("grp", "start", F.col("log_det").alias("was"))
+            params = written(params.join(before, ["grp", "start"]).where(F.col("log_det") < F.col("was") - FALL).drop("was"), f"open{step}")
+            if params.isEmpty():
+                break
+        elif params.isEmpty():
+            break
+        last = params
+    best = Window.partitionBy("grp").orderBy(F.round("log_det", 6), "start", "log_det")
+    return found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "start", "log_det")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -270,3 +270,20 @@ def test_mix_meets_targets_and_agrees(spark, monkeypatch, words):
 def test_mix_of_nothing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [(1, None), (2, "")])).count() == 2
+
+
+@pytest.mark.parametrize("share", [0.18, 0.2, 0.24])
+def test_quality_withstands_a_tight_cluster(spark, share):
+    rnd = random.Random(8)
+    names = [n for n, _ in quality.DIMS]
+    bad = int(share * 1000)
+    rows = []
+    for i in range(1000):
+        x = [rnd.gauss(0.5, s) for _, s in quality.DIMS]
+        if i < bad:
+            x = [rnd.gauss(m, 0.02) for m in (0.5, 0.5, 0.5, 1.15, 1.45)]
+        rows.append((i, 1, *(round(v * quality.SCALE) for v in x)))
+    stats = spark.createDataFrame(rows, "doc_id long, grp long, " + ", ".join(f"{n} long" for n in names))
+    d2 = {r.doc_id: r.d2 for r in quality._distance(stats.join(quality.fit(stats, 1), "grp")).collect()}
+    assert all(d2[i] > quality.CUTOFF for i in range(bad))
+    assert sum(d2[i] <= quality.CUTOFF for i in range(bad, 1000)) >= 0.99 * (1000 - bad)
