@@ -1,12 +1,14 @@
 """Main text of web pages by removal of site templates.
 
 A first pass over the pages hashes the element subtrees of each and counts the hashes per host,
-over pages, with partial aggregation; a subtree that recurs on at least ``MIN_PAGES`` pages and
-``SHARE`` of the host's pages is template (inside the article only containers count, at
-``SHARE_INSIDE``, so that paragraphs of copied articles stay). A second pass parses again and
+over the different texts around them, with partial aggregation; a subtree that recurs among at least
+``MIN_PAGES`` different texts and ``SHARE`` of the host's pages is template (``SHARE_INSIDE`` inside
+the article). The text around is told by its least hash of three words, so the blocks of copied and
+nearly copied articles stay. Inside the article containers count, lists, and paragraphs and items of
+``MIN_BLOCK_WORDS`` words; headings and table cells recur by chance. A second pass parses again and
 deletes the template subtrees. What a page says of itself goes too: scripts, styles, navigation,
-asides, footers, forms and elements named as adverts, notices, menus or comments. If the page marks
-its article (or main), only that is text.
+asides, footers, forms and elements named as adverts, notices, menus or comments. On a host of under
+``MIN_PAGES`` pages, where nothing can recur, only the article (or main) is text if the page marks it.
 
 Parsing is linear, in Arrow batches; no group of pages is gathered, and no text is written or
 shuffled between the passes. As a template is on ``SHARE`` of its host's pages, a host has at most
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -33,7 +36,11 @@ from cellweave.llm.common import guarded, table, written
 MIN_PAGES = 5
 SHARE = 0.02
 SHARE_INSIDE = 0.2
+#: Words of a paragraph or list item inside the article that may be template.
+MIN_BLOCK_WORDS = 4
 MAX_BROADCAST_HOSTS = 10_000
+#: Hash of no text.
+NOTHING = 2**64 - 1
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -42,6 +49,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
 GONE = frozenset("head nav footer aside form button select menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCKS = frozenset("p li blockquote".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr figcaption article main html body".split())
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav main form h1 h2 h3 h4 h5 h6 blockquote pre hr address figure".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
@@ -69,15 +77,33 @@ class Element:
         self.tag, self.start, self.gone, self.inside, self.first = tag, start, gone, inside, first
 
 
-def segments(source: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]:
-    """Text segments in page order, each with the hashes of the subtrees around it; and the hashes of all subtrees.
+def _least(text: str) -> int:
+    """The least hash of three words in a row; NOTHING of a blank text."""
+    words = text.split()
+    if len(words) < 3:
+        return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) if words else NOTHING
+    return min(
+        xxhash.xxh64_intdigest(f"{a} {b} {c}".encode("utf-8", "surrogatepass")) for a, b, c in zip(words, words[1:], words[2:], strict=False)
+    )
+
+
+def _around(texts: list[list], spans: list[tuple[int, int, int]], articles: int) -> dict[int, int]:
+    """Each subtree hash with the least hash of the text around it: of the article's, if there is one."""
+    own = [_least(t) if inside or not articles else NOTHING for t, inside, _ in texts]
+    before = [NOTHING, *accumulate(own, min)]
+    after = [NOTHING, *accumulate(reversed(own), min)][::-1]
+    return {h: min(before[first], after[end]) for h, first, end in spans}
+
+
+def segments(source: str | None, counted: bool = False, around: bool = False) -> tuple[list[tuple[str, list[int]]], dict[int, int]]:
+    """Text segments in page order, each with the hashes of the subtrees around it; and, if ``around``, the hashes of all subtrees with the text around them.
 
-    Hashes of containers inside the article are odd. If there is an article, its segments are all.
+    Hashes of subtrees inside the article are odd. If there is an article, its segments are all, unless host counts decide (``counted``).
     """
     source = source or ""
     low = None
     texts: list[list] = []  # [text, inside, hashes]
-    hashes: set[int] = set()
+    spans: list[tuple[int, int, int]] = []
     stack = [Element("", 0, False, False, 0)]
     articles = 0
     at = 0
@@ -90,9 +116,11 @@ def segments(source: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]
         e = stack.pop()
         if e.tag in INLINE:
             return
-        if e.tag not in ("html", "body", "article", "main") and not (e.inside and e.tag in PARAGRAPHS):
+        if e.tag in ("html", "body", "article", "main"):
+            pass
+        elif not e.inside or e.tag not in PARAGRAPHS or e.tag in BLOCKS and sum(len(t[0].split()) for t in texts[e.first :]) >= MIN_BLOCK_WORDS:
             h = xxhash.xxh64_intdigest(source[e.start : end].encode("utf-8", "surrogatepass")) >> 2 << 1 | e.inside
-            hashes.add(h)
+            spans.append((h, e.first, len(texts)))
             for t in texts[e.first :]:
                 t[2].append(h)
         say(" ")
@@ -149,25 +177,27 @@ def segments(source: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]
             stack.append(Element(tag, m.start(), gone, inside, len(texts)))
     while len(stack) > 1:
         close(n)
-    return [(t, h) for t, inside, h in texts if inside or not articles], hashes
+    parts = [(t, h) for t, inside, h in texts if inside or counted or not articles]
+    return parts, _around(texts, spans, articles) if around else {}
 
 
-def text_without(source: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
+def text_without(source: str | None, template: set[int] | frozenset[int] = frozenset(), counted: bool = False) -> str:
     """The page's text without template subtrees, character references decoded and white space collapsed."""
-    parts, _ = segments(source)
+    parts, _ = segments(source, counted)
     return " ".join(entities.unescape("".join(p for p, h in parts if template.isdisjoint(h))).split())
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [sorted(segments(h)[1]) for h in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
+        found = [[{"h": h, "s": s >> 1} for h, s in segments(x, around=True)[1].items() if s != NOTHING] for x in b.column(1).to_pylist()]
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["host", "hashes"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         pages = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
-        out = pa.array([text_without(h, set(gone or ())) for h, gone in pages], pa.string())
+        out = pa.array([text_without(h, set(gone or ()), gone is not None) for h, gone in pages], pa.string())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], names=["page_id", "url", "text"])
 
 
@@ -176,16 +206,17 @@ def host_of(url: str = "url"):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, gone): hashes of each host's template subtrees."""
-    each = pages.select(host_of().alias("host"), "html").mapInArrow(_hashed, "host string, hashes array<bigint>")
+    """(host, gone): hashes of the template subtrees of each host of ``MIN_PAGES`` pages or more."""
+    each = pages.select(host_of().alias("host"), "html").mapInArrow(_hashed, "host string, hashes array<struct<h:bigint,s:bigint>>")
     # A row without a hash counts the page itself.
-    rows = each.select("host", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("h"))
-    counts = rows.groupBy("host", "h").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_PAGES) | F.col("h").isNull())
-    counts = written(counts, "counts")
-    sizes = counts.where("h is null").select("host", F.col("n").alias("pages"))
+    rows = each.select("host", F.inline(F.array_append("hashes", F.lit(None).cast("struct<h:bigint,s:bigint>"))))
+    texts = rows.groupBy("host", "h", "s").agg(F.count("*").alias("pages"))
+    counts = texts.groupBy("host", "h").agg(F.count("*").alias("n"), F.sum("pages").alias("pages"))
+    counts = written(counts.where((F.col("n") >= MIN_PAGES) | F.col("h").isNull()), "counts")
+    sizes = counts.where(F.col("h").isNull() & (F.col("pages") >= MIN_PAGES)).select("host", F.col("pages").alias("all"))
     share = F.when(F.col("h").bitwiseAND(1) == 1, SHARE_INSIDE).otherwise(SHARE)
-    often = counts.where((F.col("n") >= MIN_PAGES) & F.col("h").isNotNull()).join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.collect_set("h").alias("gone"))
+    often = counts.where("h is not null").join(sizes, "host").where(F.col("pages") >= F.col("all") * share).select("host", "h")
+    return often.unionByName(sizes.select("host"), allowMissingColumns=True).groupBy("host").agg(F.collect_set("h").alias("gone"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

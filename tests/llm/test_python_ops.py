@@ -62,6 +62,26 @@ def test_copied_articles_stay(spark):
     assert {r.text for r in pagetext.main_text(pages).collect()} == {"the same words"}
 
 
+def words_of(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+def test_templates_inside_articles_and_text_beside_them(spark):
+    rnd = random.Random(9)
+    own, side = [words_of(rnd, 30) for _ in range(30)], [words_of(rnd, 30) for _ in range(30)]
+    promo = "Read more of this in our weekly paper"
+    page = lambda i: f"<body><article><h1>Note</h1><p>{own[i]}</p><ul><li>{promo}</ul><p>{promo}.</p></article><div>{side[i]}</div><div>every page</div></body>"
+    rows = [(i, f"http://a.example/{i}", page(i), "x") for i in range(30)]
+    copy = words_of(rnd, 200).split(" ")
+    for i in range(30):
+        rows.append((100 + i, f"http://b.example/{i}", f"<article><p>{' '.join(copy)}</p><p>{own[0]}{i}</p></article>", "x"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in pagetext.main_text(pages).collect()}
+    assert all(got[i] == f"Note {own[i]} {side[i]}" for i in range(30))
+    # Nearly copied articles keep what they share.
+    assert all(got[100 + i] == f"{' '.join(copy)} {own[0]}{i}" for i in range(30))
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
