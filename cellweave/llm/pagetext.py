@@ -2,8 +2,7 @@
 
 A first pass over the pages hashes the element subtrees of each and counts the hashes per host,
 over the different texts around them, with partial aggregation; a subtree that recurs among at least
-``MIN_PAGES`` different texts and ``SHARE`` of the host's pages is template (``SHARE_INSIDE`` inside
-the article). The text around is told by its least hash of three words, so the blocks of copied and
+``MIN_PAGES`` different texts is template, however many pages the host has. The text around is told by its least hash of three words, so the blocks of copied and
 nearly copied articles stay. Inside the article containers count, lists, and paragraphs and items of
 ``MIN_BLOCK_WORDS`` words; headings and table cells recur by chance. A second pass parses again and
 deletes the template subtrees. What a page says of itself goes too: scripts, styles, navigation,
@@ -11,9 +10,9 @@ asides, footers, forms and elements named as adverts, notices, menus or comments
 ``MIN_PAGES`` pages, where nothing can recur, only the article (or main) is text if the page marks it.
 
 Parsing is linear, in Arrow batches; no group of pages is gathered, and no text is written or
-shuffled between the passes. As a template is on ``SHARE`` of its host's pages, a host has at most
-1 / SHARE times the mean number of subtrees of its pages; these lists are broadcast if there are
-at most ``MAX_BROADCAST_HOSTS``, else joined by host.
+shuffled between the passes while each host has at most ``MAX_LIST`` templates and there are at most
+``MAX_BROADCAST_HOSTS`` hosts: then each host's list is broadcast. Else the subtrees of the pages
+meet the templates by (host, hash), and each page gets only those it has.
 
 Defined cases: null or empty html gives empty text; pages without a host share one; unclosed and
 misnested tags are closed by their parents' ends; equal rows get equal texts.
@@ -34,11 +33,12 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import guarded, table, written
 
 MIN_PAGES = 5
-SHARE = 0.02
-SHARE_INSIDE = 0.2
 #: Words of a paragraph or list item inside the article that may be template.
 MIN_BLOCK_WORDS = 4
 MAX_BROADCAST_HOSTS = 10_000
+#: Templates of a host, and of all, that may go to each page as a list.
+MAX_LIST = 1_000
+MAX_BROADCAST = 500_000
 #: Hash of no text.
 NOTHING = 2**64 - 1
 
@@ -191,7 +191,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [[{"h": h, "s": s >> 1} for h, s in segments(x, around=True)[1].items() if s != NOTHING] for x in b.column(1).to_pylist()]
         kind = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["host", "hashes"])
+        rest = b.columns[2:]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind), *rest], names=["host", "hashes", "k1", "k2"][: 2 + len(rest)])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,26 +207,42 @@ def host_of(url: str = "url"):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, gone): hashes of the template subtrees of each host of ``MIN_PAGES`` pages or more."""
+    """(host, h): hashes of the template subtrees of each host of ``MIN_PAGES`` pages or more; null h is the host's own row."""
     each = pages.select(host_of().alias("host"), "html").mapInArrow(_hashed, "host string, hashes array<struct<h:bigint,s:bigint>>")
     # A row without a hash counts the page itself.
     rows = each.select("host", F.inline(F.array_append("hashes", F.lit(None).cast("struct<h:bigint,s:bigint>"))))
     texts = rows.groupBy("host", "h", "s").agg(F.count("*").alias("pages"))
     counts = texts.groupBy("host", "h").agg(F.count("*").alias("n"), F.sum("pages").alias("pages"))
-    counts = written(counts.where((F.col("n") >= MIN_PAGES) | F.col("h").isNull()), "counts")
-    sizes = counts.where(F.col("h").isNull() & (F.col("pages") >= MIN_PAGES)).select("host", F.col("pages").alias("all"))
-    share = F.when(F.col("h").bitwiseAND(1) == 1, SHARE_INSIDE).otherwise(SHARE)
-    often = counts.where("h is not null").join(sizes, "host").where(F.col("pages") >= F.col("all") * share).select("host", "h")
-    return often.unionByName(sizes.select("host"), allowMissingColumns=True).groupBy("host").agg(F.collect_set("h").alias("gone"))
+    return counts.where(F.when(F.col("h").isNull(), F.col("pages")).otherwise(F.col("n")) >= MIN_PAGES).select("host", "h")
+
+
+def _with_lists(rows: DataFrame, found: DataFrame, hosts: int) -> DataFrame:
+    """Each page with the list of its host."""
+    gone = found.groupBy("host").agg(F.collect_set("h").alias("gone")).withColumnRenamed("host", "_host")
+    return rows.join(guarded(gone, hosts, MAX_BROADCAST_HOSTS), F.col("_own") == F.col("_host"), "left")
+
+
+def _with_own(rows: DataFrame, found: DataFrame, hosts: int) -> DataFrame:
+    """Each page with the templates that it has, by a join of subtrees; a page is named by 128 bits of its row."""
+    kind = "host string, hashes array<struct<h:bigint,s:bigint>>, k1 bigint, k2 bigint"
+    name = [F.xxhash64("page_id", "url", "html").alias("k1"), F.xxhash64(F.lit(1), "html", "url", "page_id").alias("k2")]
+    each = rows.select("_own", "html", *name).mapInArrow(_hashed, kind)
+    blocks = written(each.select("host", "k1", "k2", F.inline("hashes")).drop("s"), "blocks")
+    own = blocks.join(found.where("h is not null"), ["host", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("_gone"))
+    counted = guarded(found.where("h is null").select(F.col("host").alias("_host")), hosts, MAX_BROADCAST_HOSTS)
+    rows = rows.select("*", *name).join(own, ["k1", "k2"], "left").join(counted, F.col("_own") == F.col("_host"), "left")
+    return rows.withColumn("gone", F.when(F.col("_host").isNotNull(), F.coalesce("_gone", F.array().cast("array<bigint>"))))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for each page row."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    gone = written(templates(pages), "templates").withColumnRenamed("host", "_host")
-    rows = pages.select("page_id", "url", "html", host_of().alias("_own")).join(
-        guarded(gone, gone.count(), MAX_BROADCAST_HOSTS), F.col("_own") == F.col("_host"), "left"
-    )
+    found = written(templates(pages), "templates")
+    lists = found.groupBy("host").agg(F.count("h").alias("n"))
+    hosts, longest, total = lists.agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    rows = pages.select("page_id", "url", "html", host_of().alias("_own"))
+    short = hosts <= MAX_BROADCAST_HOSTS and (longest or 0) <= MAX_LIST and (total or 0) <= MAX_BROADCAST
+    rows = _with_lists(rows, found, hosts) if short else _with_own(rows, found, hosts)
     out = rows.select("page_id", "url", "html", "gone").mapInArrow(_texts, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 

@@ -82,6 +82,19 @@ def test_templates_inside_articles_and_text_beside_them(spark):
     assert all(got[100 + i] == f"{' '.join(copy)} {own[0]}{i}" for i in range(30))
 
 
+@pytest.mark.parametrize("most", [1_000, 0])
+def test_templates_do_not_depend_on_the_size_of_the_host(spark, monkeypatch, most):
+    monkeypatch.setattr(pagetext, "MAX_LIST", most)
+    rnd = random.Random(11)
+    own = [words_of(rnd, 12) for _ in range(600)]
+    banner = "<div>Section of the day</div>"
+    page = lambda i: f"<body>{banner if i < 6 else ''}<article>{banner if 6 <= i < 12 else ''}<p>{own[i]}</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i), "x") for i in range(600)] + [(9, "http://c.example/", "<article>one</article>two", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {(r.page_id, r.url): r.text for r in pagetext.main_text(pages).collect()}
+    assert got == {(i, f"http://a.example/{i}"): own[i] for i in range(600)} | {(9, "http://c.example/"): "one"}
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
