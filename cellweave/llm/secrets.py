@@ -4,8 +4,11 @@ Credentials that the base patterns find in a bounded sample of documents are the
 For each kind a prefix-tree automaton of their character classes is built, and states whose
 outgoing frequencies are statistically compatible (Hoeffding bounds on every transition and on
 ending, recursively) are merged, which leaves a probabilistic automaton. Every other candidate
-string, anywhere in a text, is scored by its likelihood per character under each automaton; it is a
-secret if it is at least as likely as all but ``MISSED`` of the automaton's own examples.
+string, anywhere in a text, is scored whole by its likelihood per character under each automaton; it
+is a secret if it is at least as likely as all but ``MISSED`` of the automaton's own examples.
+Candidates are what base spans leave of the runs of credential characters, and their parts between
+``=``, ``.`` and ``/``; those as short as the shortest example of a kind are tried for it, with a
+digit or a letter where its examples always have one. Of overlapping secrets the longest counts.
 
 The sample is about ``SAMPLE`` documents by a hash of doc_id, of which ``EXAMPLES`` strings a kind
 are used (those with the least hashes). All documents are scanned, whole.
@@ -18,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,23 +33,25 @@ from cellweave.llm.common import table
 
 SAMPLE = 20_000
 EXAMPLES = 300
-LONGEST = 80
+#: Characters of a kind's examples, which the driver holds as a prefix tree.
+TREE = 500_000
 CONFIDENCE = 0.05
 MISSED = 0.02
-#: Length of strings that are candidates beside the base patterns.
-SHORTEST = 16
 #: Probability of a character class that a state never showed.
 UNSEEN = 1e-4
+UNSEEN_LOG = math.log(UNSEEN)
 
 KINDS = ("assign", "access", "hex")
 #: The base patterns of the contract (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+SIGNS = re.compile(r"[./]+|=+")
+HAS_DIGIT = re.compile("[0-9]")
+HAS_LETTER = re.compile("[A-Za-z]")
 WORDS = ("password", "passwd", "secret", "token", "api")
 _HEX_MAP = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-_CANDIDATE_MAP = bytes(120 if re.match(r"[A-Za-z0-9+/_.=-]", chr(b)) else 32 for b in range(256))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -87,6 +94,7 @@ class Automaton:
                 q = self.next[q][c]
             self.ends[q] += 1
         self._merge()
+        self.logs: dict[int, dict[str, float]] = {}
 
     def _total(self, q: int) -> int:
         return self.ends[q] + sum(self.seen[q].values())
@@ -142,53 +150,93 @@ class Automaton:
             [self.ends[q] for q in red],
         )
 
-    def likelihood(self, s: str) -> float:
-        """Mean log probability a character, the end included."""
-        q, log = 0, 0.0
+    def likelihood(self, s: str, least: float = -math.inf) -> float:
+        """Mean log probability a character, the end included; less than ``least`` as soon as it cannot reach it."""
+        q, log, low = 0, 0.0, least * (len(s) + 1) - 1e-9
         for c in s:
+            known = self._logs(q)
+            log += known.get(c, UNSEEN_LOG)
+            if log < low:
+                return -math.inf
+            q = self.next[q].get(c, q)
+        return (log + self._logs(q).get("", UNSEEN_LOG)) / (len(s) + 1)
+
+    def _logs(self, q: int) -> dict[str, float]:
+        """Log probabilities of a state's characters and, as the empty string, of ending."""
+        if (known := self.logs.get(q)) is None:
             n = self._total(q)
-            log += math.log(max(self.seen[q].get(c, 0) / n, UNSEEN)) if n else math.log(UNSEEN)
-            if c in self.next[q]:
-                q = self.next[q][c]
-        n = self._total(q)
-        return (log + math.log(max(self.ends[q] / n if n else 0, UNSEEN))) / (len(s) + 1)
+            known = {c: math.log(max(k / n, UNSEEN)) for c, k in [*self.seen[q].items(), ("", self.ends[q])] if n and k}
+            self.logs[q] = known
+        return known
 
 
 class Grammar:
-    """Automata and least likelihoods by kind."""
+    """Automata, least likelihoods and what all examples have, by kind."""
 
     def __init__(self, examples: dict[str, list[str]]):
         self.automata = {}
+        self.needs = {}
         for kind, strings in examples.items():
-            shapes = [shape(s)[:LONGEST] for s in strings]
-            if len(shapes) < 10:
+            if len(strings) < 10:
                 continue
+            shapes = [shape(s) for s in strings]
             automaton = Automaton(shapes)
             own = sorted(map(automaton.likelihood, shapes))
             self.automata[kind] = automaton, own[int(MISSED * len(own))]
+            needs = [p for p in (HAS_DIGIT, HAS_LETTER) if all(p.search(s) for s in strings)]
+            self.needs[kind] = min(map(len, strings)), max(map(len, strings)), needs
+        self.shortest = min((n for n, _, _ in self.needs.values()), default=0)
+        self.longest = max((n for _, n, _ in self.needs.values()), default=0)
+        self.digits = all(HAS_DIGIT in needs for _, _, needs in self.needs.values())
 
     def likely(self, s: str) -> str | None:
         """The kind whose format a string has best, or None."""
         best = None
+        form = None
         for kind, (automaton, least) in self.automata.items():
-            x = automaton.likelihood(shape(s)[:LONGEST]) - least
+            shortest, _, needs = self.needs[kind]
+            if len(s) < shortest or not all(p.search(s) for p in needs):
+                continue
+            form = form or shape(s)
+            x = automaton.likelihood(form, least) - least
             if x >= 0 and (best is None or x > best[0]):
                 best = x, kind
         return best and best[1]
 
+    def _parts(self, s: str) -> list[tuple[int, int]]:
+        """A run and its parts between signs, as long as examples are; longest first."""
+        starts, ends = {0}, {len(s)}
+        for m in SIGNS.finditer(s):
+            starts.add(m.end())
+            ends |= {m.start(), m.end()}
+        order = sorted(ends)
+        parts = {(0, len(s))} if len(s) >= self.shortest else set()
+        for a in starts:
+            for b in order[bisect_left(order, a + self.shortest) :]:
+                if b - a > self.longest:
+                    break
+                parts.add((a, b))
+        return sorted(parts, key=lambda p: (p[0] - p[1], p[0]))
+
+    def _secrets(self, s: str) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        if len(s) < self.shortest or self.digits and not HAS_DIGIT.search(s):
+            return found
+        for a, b in self._parts(s):
+            if all(b <= x or y <= a for x, y in found) and self.likely(s[a:b]):
+                found.append((a, b))
+        return sorted(found)
+
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
         """Candidates beside the base spans that have a learned format."""
-        if not self.automata or not re.search("[0-9]", text):
-            return []
-        if b"x" * SHORTEST not in text.encode("utf-8", "surrogatepass").translate(_CANDIDATE_MAP):
+        if not self.automata or self.digits and not HAS_DIGIT.search(text):
             return []
         found = []
-        for m in CANDIDATE.finditer(text):
-            s = m[0]
-            if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            if self.likely(s):
-                found.append((m.start(), "learned", m.end()))
+        at = 0
+        for start, end in [*((a, e) for a, _, e in base), (len(text), len(text))]:
+            for m in CANDIDATE.finditer(text, at, max(start, at)):
+                found += [(m.start() + a, "learned", m.start() + b) for a, b in self._secrets(m[0])]
+            at = max(at, end)
         return found
 
 
@@ -214,7 +262,12 @@ def labelled(docs: DataFrame) -> dict[str, list[str]]:
     found: dict[str, set[str]] = {}
     for r in picked.where("text is not null").select("text").mapInArrow(run, "kind int, s string").distinct().toLocalIterator():
         found.setdefault(KINDS[r.kind], set()).add(r.s)
-    return {k: sorted(found[k], key=_hash)[:EXAMPLES] for k in KINDS if k in found}
+    return {k: _within(sorted(found[k], key=_hash)[:EXAMPLES]) for k in KINDS if k in found}
+
+
+def _within(strings: list[str]) -> list[str]:
+    """The first strings of at most TREE characters."""
+    return [s for s, n in zip(strings, accumulate(map(len, strings)), strict=True) if n <= TREE]
 
 
 def _hash(s: str) -> str:

@@ -124,6 +124,23 @@ def test_grammar_learns_a_format():
     assert a.likelihood("ab") > a.likelihood("ba")
 
 
+def test_candidates_are_whole_parts_of_runs_as_short_as_the_format():
+    rnd = random.Random(5)
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    short = lambda: pick("0123456789", 4) + pick("GHJKLMNPQR", 6)
+    g = secrets.Grammar({"assign": [short() for _ in range(200)]})
+    k = short()
+    for before, after in (("", ""), ("auth=", ""), ("see ", "."), ("a/b/", "/c"), ('"', '"')):
+        text = f"{before}{k}{after} end"
+        assert g.spans(text, []) == [(len(before), "learned", len(before) + 10)]
+    assert g.spans(f"token=abcdef,{k}", [(0, 0, 12)]) == [(13, "learned", 23)]
+    digits = secrets.Grammar({"assign": [pick("0123456789", 12) for _ in range(200)]})
+    assert len(digits.spans("no 482910293847 here", [])) == 1
+    long = lambda: pick("0123456789abcdef", 100) + "-" + pick("GHJKLMNPQR", 28)
+    g = secrets.Grammar({"hex": [long() for _ in range(200)]})
+    assert g.likely(long()) == "hex" and g.likely(pick("0123456789abcdef", 129)) is None
+
+
 def test_secrets_query(spark):
     rnd = random.Random(3)
     hexes = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(120)]
