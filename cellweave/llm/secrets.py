@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, then formats learned by grammar inference.
 
-Credentials that the base patterns find in a bounded sample of documents are the labelled examples.
+Credentials that the base patterns find in all documents are the labelled examples.
 For each kind a prefix-tree automaton of their character classes is built, and states whose
 outgoing frequencies are statistically compatible (Hoeffding bounds on every transition and on
 ending, recursively) are merged, which leaves a probabilistic automaton. Every other candidate
@@ -10,10 +10,13 @@ Candidates are what base spans leave of the runs of credential characters, and t
 ``=``, ``.`` and ``/``; those as short as the shortest example of a kind are tried for it, with a
 digit or a letter where its examples always have one. Of overlapping secrets the longest counts.
 
-The sample is about ``SAMPLE`` documents by a hash of doc_id, of which ``EXAMPLES`` strings a kind
-are used (those with the least hashes). All documents are scanned, whole.
+Of each kind's different examples the ``EXAMPLES`` of least hash are used, up to ``TREE`` characters,
+so the bound is on labelled strings and a rare kind keeps its own at every size of table. They are
+picked by partition, then by ``SALTS`` parts of the hashes, then as a whole. All documents are
+scanned, whole.
 
-Defined cases: null text is empty; without examples of a kind the method adds nothing for it.
+Defined cases: null text is empty; a kind with under ``LEAST_EXAMPLES`` different examples in the
+whole table has no automaton and the method adds nothing for it.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import table
 
-SAMPLE = 20_000
 EXAMPLES = 300
+LEAST_EXAMPLES = 10
+SALTS = 64
 #: Characters of a kind's examples, which the driver holds as a prefix tree.
 TREE = 500_000
 CONFIDENCE = 0.05
@@ -177,7 +181,7 @@ class Grammar:
         self.automata = {}
         self.needs = {}
         for kind, strings in examples.items():
-            if len(strings) < 10:
+            if len(strings) < LEAST_EXAMPLES:
                 continue
             shapes = [shape(s) for s in strings]
             automaton = Automaton(shapes)
@@ -245,24 +249,31 @@ def _joined(spans) -> str:
 
 
 def labelled(docs: DataFrame) -> dict[str, list[str]]:
-    """Examples of each kind from the sample; the driver gets at most EXAMPLES a kind and batch of the sample."""
+    """Examples of each kind; the driver gets at most EXAMPLES a kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[str]] = {0: [], 1: [], 2: []}
         for b in batches:
-            found: dict[int, set[str]] = {0: set(), 1: set(), 2: set()}
-            for t in b.column(0).to_pylist():
+            new: dict[int, set[str]] = {k: set(v) for k, v in found.items()}
+            for x in b.column(0):
+                t = x.as_py()
                 for start, kind, end in base_spans(t):
                     s = t[start:end]
-                    found[kind].add(ASSIGN.match(s)[2] if kind == 0 else s)
-            rows = [(k, s) for k, v in found.items() for s in sorted(v, key=_hash)[:EXAMPLES]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "s"])
-
-    size = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(3)), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / max(size, 1)))
-    found: dict[str, set[str]] = {}
-    for r in picked.where("text is not null").select("text").mapInArrow(run, "kind int, s string").distinct().toLocalIterator():
-        found.setdefault(KINDS[r.kind], set()).add(r.s)
-    return {k: _within(sorted(found[k], key=_hash)[:EXAMPLES]) for k in KINDS if k in found}
+                    new[kind].add(ASSIGN.match(s)[2] if kind == 0 else s)
+            found = {k: sorted(v, key=_hash)[:EXAMPLES] if len(v) > len(found[k]) else found[k] for k, v in new.items()}
+        rows = [(k, s, _hash(s)) for k, v in found.items() for s in v]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "s", "h"])
+
+    rows = docs.where("text is not null").select("text").mapInArrow(run, "kind int, s string, h string").distinct()
+    salt = F.pmod(F.xxhash64("h"), F.lit(SALTS))
+    for by in (["kind", salt], ["kind"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "s"))
+        rows = rows.withColumn("r", rank).where(F.col("r") <= EXAMPLES).drop("r")
+    found: dict[str, list[str]] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.kind, r.h, r.s)):
+        found.setdefault(KINDS[r.kind], []).append(r.s)
+    return {k: _within(v) for k, v in found.items()}
 
 
 def _within(strings: list[str]) -> list[str]:

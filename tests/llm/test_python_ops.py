@@ -141,6 +141,15 @@ def test_candidates_are_whole_parts_of_runs_as_short_as_the_format():
     assert g.likely(long()) == "hex" and g.likely(pick("0123456789abcdef", 129)) is None
 
 
+def test_rare_kinds_keep_their_examples_in_a_large_table(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "if(id % 5000 = 7, concat('AKIA', substr(upper(md5(string(id))), 1, 16)), 'some text') as text")
+    found = secrets.labelled(docs)
+    assert len(found["access"]) == 12 and list(secrets.Grammar(found).automata) == ["access"]
+    many = spark.range(2_000).selectExpr("id as doc_id", "concat('AKIA', substr(upper(md5(string(id))), 1, 16)) as text")
+    want = sorted((r.text for r in many.collect()), key=secrets._hash)[: secrets.EXAMPLES]
+    assert secrets.labelled(many.repartition(7))["access"] == want
+
+
 def test_secrets_query(spark):
     rnd = random.Random(3)
     hexes = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(120)]
