@@ -69,7 +69,7 @@ def keyed_lines(spark: SparkSession, paths, key: int) -> DataFrame:
     """(key, fields): lines split at white space, lines of one field dropped, fields after the key."""
     fields = F.split(F.trim("value"), r"\s+")
     df = spark.read.text(paths).select(fields.alias("f")).where((F.size("f") >= 2) & (F.size("f") > key))
-    return df.select(F.col("f")[key].alias("key"), F.slice("f", key + 2, 1000).alias("fields"))
+    return df.select(F.col("f")[key].alias("key"), F.slice("f", F.lit(key + 2), F.size("f")).alias("fields"))
 
 
 def csv_corpus(spark: SparkSession, folder: str, name: str) -> DataFrame:

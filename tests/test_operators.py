@@ -142,3 +142,12 @@ def test_stream_windows_and_dedup(spark, tmp_path):
         q.option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
     assert spark.table("seen").count() == 10
     assert spark.table("wins").count() > 0
+
+
+def test_keyed_lines_keep_every_field(spark, tmp_path):
+    from cellweave import sources
+
+    (tmp_path / "wide.tsv").write_text("a k " + " ".join(map(str, range(1500))) + "\nb k\nalone\n")
+    got = {r.key: r.fields for r in sources.keyed_lines(spark, str(tmp_path), 0).collect()}
+    assert got == {"a": ["k", *map(str, range(1500))], "b": ["k"]}
+    assert sorted(len(r.fields) for r in sources.keyed_lines(spark, str(tmp_path), 1).collect()) == [0, 1500]
