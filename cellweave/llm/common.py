@@ -1,12 +1,16 @@
 """Helpers shared by the corpus operators: shared-folder tables, row keys, word arrays.
 
-Every helper here is a DataFrame or Column expression; nothing collects rows.
+Every helper here is a DataFrame or Column expression; nothing collects rows. Tables that operators
+write go below one folder of the driver's run, which is deleted when the driver ends; ``released``
+deletes one earlier, once nothing reads it any more.
 """
 
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -20,6 +24,7 @@ TERM_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _OWN: dict[str, str] = {}
+_RUNS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,18 +43,74 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _deleted_at_end(spark: SparkSession, path: str) -> None:
+    try:
+        _deleted(spark, path)
+    except Exception as e:  # the JVM may be gone before Python ends
+        print(f"left behind: {path} ({type(e).__name__})", file=sys.stderr)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cellweave-{uuid.uuid4().hex}/{name}"
+    base = shared_folder(spark)
+    if base not in _RUNS:
+        _RUNS[base] = f"{base}/cellweave-{uuid.uuid4().hex}"
+        atexit.register(_deleted_at_end, spark, _RUNS[base])
+    path = f"{_RUNS[base]}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, when what was made of them is written itself."""
+    for t in tables:
+        _deleted(t.sparkSession, t._written)
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that ``df`` has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return list(itertools.islice((f"_x{i}" for i in itertools.count() if f"_x{i}" not in taken), n))
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by quoted name, so that names with dots are columns too."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def keep_rows(docs: DataFrame, marks: DataFrame, how: str, rows: int | None = None, bound: int = 0) -> DataFrame:
+    """Rows of ``docs`` that have ("left_semi") or have not ("left_anti") their doc_id and text hash in ``marks``.
+
+    ``marks`` (doc_id, th) is broadcast if it has ``rows`` rows and they are within ``bound``.
+    """
+    i, h, own = free_names(docs, 3)
+    side = marks.select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    if rows is not None:
+        side = guarded(side, rows, bound)
+    out = docs.withColumn(own, text_hash()).join(side, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), how)
+    return out.drop(own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def order_id(docs: DataFrame) -> Column:
+    """doc_id as a value that has an order and is never null: null is the smallest."""
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return F.coalesce(F.concat(F.lit(" "), F.col("doc_id").cast("string")), F.lit(""))
+
+
 def text_hash(text: Column | str = "text") -> Column:
     """Tells rows of one doc_id apart; rows equal in both are one document to the operators that join back."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

@@ -1,22 +1,34 @@
 """Line dedup by a fixed-depth template tree. DataFrame and SQL functions only.
 
-A line's path in the tree: its token count, then its leading tokens, with tokens that hold a digit
-masked as ``<*>``. Leaves hold templates that generalise further variable fields: of a line of
-``LONG`` tokens or more, up to ``WILD`` of its tokens may vary, at its end (template P: count and
-leading tokens) or between its first ``DEPTH`` tokens and its tail (template S: count, leading
-tokens, tail). A shorter line's template has no variable fields but the masked ones.
+Records: a line is cut after each sentence of ``LONG`` tokens or more (a sentence ends with a token
+in ``.``, ``!`` or ``?``, or with the line), so shorter sentences go with what follows them. A
+record's cuts depend on its own sentences only: a passage repeated inside longer lines gives the same
+records there.
+
+Tree: a record's path is its token count, then the tokens that its leaf keeps; tokens that hold a
+digit are masked as ``<*>``. The classic path keeps the leading tokens; here each record goes down
+several paths, one for each part of it that may vary, so a leaf's template has wildcards wherever its
+records differ outside the kept tokens, and variable leading tokens are met by a path that starts
+later. A template keeps ``LONG`` tokens at least:
+
+- ``HALVES`` tokens or more: the first half, the last half, the middle half, or the outer quarters
+  are kept; one or several variable fields may be anywhere in the rest (so one early and one late).
+- ``THIRDS`` to ``HALVES`` tokens: two thirds are kept, any one third may vary.
+- fewer tokens: all are kept.
 
 A template recurs if it occurs under ``MIN_DOCS_LONG`` different doc_ids or more
-(``MIN_DOCS_SHORT`` for short lines, which meet by chance). Recurring lines stay where the template
-is first seen, under its smallest doc_id, and are dropped everywhere else; so of a group of copies
-one keeps its text.
-
-Lines become rows of hashes (128 bits a template), never rows of text, and are counted with
-partial aggregation. Each document's dropped line numbers then join back to its text.
-
-Defined cases: null text stays null and has no lines; lines without a word are kept; rows of one
-doc_id are one document for counting (null is an id of its own, and the smallest); repeats of a line
-inside its own document stay; equal rows get equal results.
+(``MIN_DOCS_SHORT`` for records of under ``LONG`` tokens, which meet by chance). Its records stay
+where the template is first seen, under its smallest doc_id, and are dropped everywhere else; so of a
+group of copies one keeps its text. A line whose words are all dropped goes whole.
+
+Records become rows of a 64-bit path hash beside the token count, never rows of text, and are counted
+with partial aggregation (at 10**13 paths, about one record in 10**8 would meet a foreign path). Each
+document's dropped records then join back to its text.
+
+Defined cases: null text stays null and has no lines; records without a word are kept; rows of one
+doc_id are one document for counting (null is an id of its own, and the smallest); repeats of a
+record inside its own document stay; doc_ids may be integers or text; equal rows get equal results;
+extra columns of any name are passed on.
 """
 
 from __future__ import annotations
@@ -24,114 +36,126 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import table, text_hash, written
+from cellweave.llm.common import free_names, order_id, own_columns, table, written
 
-DEPTH = 3
 LONG = 10
-WILD = 0.3
+THIRDS = 15
+HALVES = 20
 MIN_DOCS_LONG = 2
 MIN_DOCS_SHORT = 10
-NO_ID = -(2**63)
+WS = r"\x20\x09-\x0D"
+#: A sentence of LONG tokens or more, with the white space after it. Possessive and begun at token
+#: starts only, so that it is linear in the line.
+SENTENCE = rf"(?<![^{WS}])((?:[^{WS}]*[^{WS}.!?][{WS}]+){{{LONG - 1},}}+(?:[^{WS}]*[.!?][{WS}]|[^{WS}]*\z))"
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(id, th, line_no, long, k1, k2): a row for each template of each line that has a word."""
-    lines = docs.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
-        text_hash().alias("th"),
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
-    )
-    odd = F.col("line").rlike(r"[\t-\r]|  |^ | $")
-    lines = lines.withColumn(
-        "line", F.when(odd, F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))).otherwise(F.col("line"))
+def row_hash():
+    """32 bits that tell rows of one doc_id apart."""
+    return F.hash(F.coalesce("text", F.lit("")))
+
+
+def _records(line: str) -> str:
+    """SQL: the records of a line; together they are the line."""
+    return f"split(regexp_replace({line}, r'{SENTENCE}', '$1\\n'), '\\n')"
+
+
+def record_rows(docs: DataFrame) -> DataFrame:
+    """(id, th, line_no, rec_no, n, k): a row for each path of each record that has a word."""
+    rows = docs.select(
+        order_id(docs).alias("id"), row_hash().alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     ).where(F.col("line") != "")
-    lines = lines.withColumn(
-        "line",
-        F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("line")),
-    ).withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    lines = lines.withColumn("long", F.col("n") >= LONG)
-    lines = lines.withColumn("wild", F.floor(F.col("n") * WILD).cast("int"))
-    parts = {
-        "P": F.expr("substring_index(line, ' ', n - wild)"),
-        "S": F.concat_ws(
-            "\n", F.substring_index("line", " ", DEPTH), F.expr(f"substring_index(line, ' ', wild + {DEPTH} - n)")
-        ),
-    }
-    key = lambda kind, text: F.struct(
-        F.xxhash64(F.lit(kind), "n", text).alias("k1"), F.xxhash64(text, F.lit(kind), "n").alias("k2")
-    )
-    keys = F.when(F.col("long"), F.array(*[key(k, v) for k, v in parts.items()])).otherwise(
-        F.array(key("E", F.col("line")))
+    rows = rows.select("id", "th", "line_no", F.posexplode(F.expr(_records("line"))).alias("rec_no", "r"))
+    odd = F.col("r").rlike(r"[\t-\r]|  |^ | $")
+    rows = rows.withColumn("r", F.when(odd, F.trim(F.regexp_replace("r", r"[\x20\x09-\x0D]+", " "))).otherwise(F.col("r")))
+    rows = rows.where(F.col("r") != "").withColumn(
+        "r", F.when(F.col("r").rlike("[0-9]"), F.regexp_replace("r", r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("r"))
     )
-    return lines.select("id", "th", "line_no", "long", F.explode(keys).alias("k")).select(
-        "id", "th", "line_no", "long", "k.k1", "k.k2"
+    rows = rows.withColumn("t", F.split("r", " ")).withColumn("n", F.size("t"))
+    paths = F.expr(
+        f"""case when n >= {HALVES} then array(
+              xxhash64('first', slice(t, 1, n div 2)),
+              xxhash64('last', slice(t, n div 2 + 1, n)),
+              xxhash64('middle', slice(t, n div 4 + 1, 3 * n div 4 - n div 4)),
+              xxhash64('outer', slice(t, 1, n div 4), slice(t, 3 * n div 4 + 1, n)))
+            when n >= {THIRDS} then array(
+              xxhash64('to', slice(t, 1, 2 * n div 3)),
+              xxhash64('from', slice(t, n div 3 + 1, n)),
+              xxhash64('around', slice(t, 1, n div 3), slice(t, 2 * n div 3 + 1, n)))
+            else array(xxhash64('all', r)) end"""
     )
+    return rows.select("id", "th", "line_no", "rec_no", "n", F.explode(paths).alias("k"))
 
 
-def recurring(lines: DataFrame) -> DataFrame:
-    """(k1, k2, first): the templates that recur and the doc_id that keeps them."""
+def recurring(rows: DataFrame) -> DataFrame:
+    """(k, n, first): the templates that recur and the doc_id that keeps them."""
     long = (
-        lines.where("long")
-        .groupBy("k1", "k2")
+        rows.where(F.col("n") >= LONG)
+        .groupBy("k", "n")
         .agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .where("first != last")
-        .select("k1", "k2", "first")
+        .select("k", "n", "first")
     )
     short = (
-        lines.where("not long")
-        .select("k1", "k2", "id")
+        rows.where(F.col("n") < LONG)
+        .select("k", "n", "id")
         .distinct()
-        .groupBy("k1", "k2")
+        .groupBy("k", "n")
         .agg(F.min("id").alias("first"), F.count("*").alias("docs"))
         .where(F.col("docs") >= MIN_DOCS_SHORT)
-        .select("k1", "k2", "first")
+        .select("k", "n", "first")
     )
     assert MIN_DOCS_LONG == 2  # first != last says just that
     return long.unionByName(short)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(id, th, dropped): for documents that lose lines, their numbers in ascending order."""
-    lines = written(line_rows(docs), "lines")
+def dropped_records(docs: DataFrame) -> DataFrame:
+    """(id, th, dropped): for documents that lose records, their (line_no, recs) in ascending order."""
+    rows = written(record_rows(docs), "records")
     # Written first, so that the join's sides are both plain exchanges and a hot template can be split.
-    often = written(recurring(lines), "recurring")
-    hits = lines.join(often, ["k1", "k2"]).where("id != first")
-    return hits.groupBy("id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    often = written(recurring(rows), "recurring")
+    hits = rows.join(often, ["k", "n"]).where("id != first").select("id", "th", "line_no", "rec_no")
+    lines = hits.repartition("id", "th").groupBy("id", "th", "line_no").agg(F.array_sort(F.collect_set("rec_no")).alias("recs"))
+    return lines.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("line_no", "recs"))).alias("dropped"))
+
+
+def _slices(whole: str, d: str, at: str, between: str) -> str:
+    """SQL: what stands in ``whole`` between the places ``at`` of ``d`` (one slice each, so linear), with ``between`` for them."""
+    place = lambda j: at.replace("#", f"get({d}, {j})")
+    return (
+        f"flatten(transform(sequence(0, size({d})), j -> concat(slice({whole}, coalesce({place('j - 1')} + 2, 1),"
+        f" coalesce({place('j')}, size({whole})) - coalesce({place('j - 1')} + 1, 0)), {between})))"
+    )
 
 
-def without_recurring(docs: DataFrame) -> DataFrame:
-    """Adds ``dropped`` and ``n_lines`` to ``docs`` and takes the dropped lines out of ``text``."""
-    lost = dropped_lines(docs).select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.col("dropped").alias("_d"))
-    df = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_th": text_hash()}).join(
-        lost, (F.col("_id") == F.col("_i")) & (F.col("_th") == F.col("_t")), "left"
-    )
-    df = df.withColumn("_l", F.split("text", "\n"))
-    # What stands between two dropped lines is one slice, so the rebuild is linear in the lines.
-    keep = F.expr(
-        """array_join(flatten(transform(sequence(0, size(_d)), j -> slice(
-             _l,
-             if(j = 0, 1, _d[greatest(j - 1, 0)] + 2),
-             if(j = size(_d), size(_l), _d[least(j, size(_d) - 1)]) - if(j = 0, 0, _d[greatest(j - 1, 0)] + 1)
-           ))), '\n')"""
+def without_recurring(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with recurring records taken out of ``text``, and the names of two columns more: what was dropped (null: nothing), the number of lines."""
+    lost = dropped_records(docs)
+    i, th, di, dt, d, lines, n = free_names(docs, 7)
+    lost = lost.select(F.col("id").alias(di), F.col("th").alias(dt), F.col("dropped").alias(d))
+    df = docs.withColumns({i: order_id(docs), th: row_hash()}).join(
+        lost, (F.col(i) == F.col(di)) & (F.col(th) == F.col(dt)), "left"
     )
-    return df.withColumns(
-        {
-            "text": F.when(F.col("_d").isNull(), F.col("text")).otherwise(keep),
-            "n_lines": F.coalesce(F.size("_l"), F.lit(0)).cast("long"),
-            "dropped": F.coalesce("_d", F.array().cast("array<int>")),
-        }
-    ).drop("_id", "_th", "_i", "_t", "_d", "_l")
+    df = df.withColumn(lines, F.split("text", "\n"))
+    # A line's records without the dropped ones; null if no word is left.
+    kept = f"array_join({_slices('g', f'get({d}, j).recs', '#', 'array()').replace('j ->', 'i ->').replace('j - 1', 'i - 1').replace(', j)', ', i)').replace(f'get({d}, i)', f'get({d}, j)')}, '')"
+    line = f"transform(transform(array({_records(f'get({lines}, get({d}, j).line_no)')}), g -> {kept}), x -> if(x rlike r'[^{WS}]', x, null))"
+    whole = _slices(lines, d, "#.line_no", f"if(j < size({d}), {line}, array())")
+    text = F.when(F.col(d).isNull(), F.col("text")).otherwise(F.expr(f"array_join(filter({whole}, x -> x is not null), '\n')"))
+    df = df.withColumn("text", text).withColumn(n, F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).cast("long"))
+    return df.drop(i, th, di, dt, lines), d, n
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text without recurring lines, n_lines, n_dropped, and the dropped lines' numbers."""
+    """doc_id, text without recurring records, n_lines, n_dropped, and the dropped records as line:record numbers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_recurring(docs).select(
+    df, d, n = without_recurring(docs)
+    flat = F.expr(f"coalesce(flatten(transform({d}, x -> transform(x.recs, r -> concat(x.line_no, ':', r)))), array())")
+    return df.withColumn("dropped", flat).select(
         "doc_id",
         "text",
-        F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"),
+        F.col(n).alias("n_lines"),
         F.size("dropped").cast("long").alias("n_dropped"),
-        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"),
+        F.array_join("dropped", ",").alias("dropped"),
     )
 
 
@@ -139,27 +163,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 x AS (SELECT r, doc_id, unnest(range(0, len(l))) AS k, unnest(l) AS line FROM d WHERE text IS NOT NULL),
-m AS (SELECT r, doc_id, k, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-  lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM x),
-n AS (SELECT *, len(t) AS n, CAST(floor(len(t) * 0.3::DOUBLE) AS INT) AS w FROM m WHERE len(t) > 0),
-keys AS (
-  SELECT r, doc_id, k, 'E' || n || ' ' || array_to_string(t, ' ') AS key, 10 AS need FROM n WHERE n < 10
-  UNION ALL SELECT r, doc_id, k, 'P' || n || ' ' || array_to_string(t[1:n - w], ' '), 2 FROM n WHERE n >= 10
-  UNION ALL SELECT r, doc_id, k, 'S' || n || ' ' || array_to_string(t[1:3], ' ') || chr(10) || array_to_string(t[w + 4:], ' '), 2 FROM n WHERE n >= 10),
-f AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= max(need)),
-gone AS (SELECT DISTINCT r, k FROM keys JOIN f USING (key) WHERE doc_id <> first),
-a AS (SELECT r, list(k ORDER BY k) AS ks FROM gone GROUP BY r)
-SELECT doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_filter(l, lambda v, i: NOT list_contains(ks, i - 1)), chr(10)) END AS text,
-  CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_dropped,
-  coalesce(array_to_string(list_transform(ks, lambda v: CAST(v AS VARCHAR)), ','), '') AS dropped
-FROM d LEFT JOIN a USING (r)
+y AS (SELECT *, string_split(regexp_replace(line,
+  '((?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09-\x0D]+){9,}(?:[^\x20\x09-\x0D]*[.!?][\x20\x09-\x0D]|[^\x20\x09-\x0D]*\z))',
+  '\1' || chr(10), 'g'), chr(10)) AS s FROM x),
+z AS (SELECT r, doc_id, k, unnest(range(0, len(s))) AS j, unnest(s) AS seg FROM y),
+m AS (SELECT r, doc_id, k, j, list_transform(list_filter(string_split_regex(seg, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+  lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM z),
+n AS (SELECT *, len(t) AS n, len(t) // 4 AS q1, len(t) // 2 AS q2, 3 * len(t) // 4 AS q3, len(t) // 3 AS a, 2 * len(t) // 3 AS b FROM m WHERE len(t) > 0),
+p AS (
+  SELECT r, doc_id, k, j, n, 'A' AS p, t AS v FROM n WHERE n < 15
+  UNION ALL SELECT r, doc_id, k, j, n, 'T', t[1:b] FROM n WHERE n BETWEEN 15 AND 19
+  UNION ALL SELECT r, doc_id, k, j, n, 'F', t[a + 1:n] FROM n WHERE n BETWEEN 15 AND 19
+  UNION ALL SELECT r, doc_id, k, j, n, 'R', list_concat(t[1:a], t[b + 1:n]) FROM n WHERE n BETWEEN 15 AND 19
+  UNION ALL SELECT r, doc_id, k, j, n, '1', t[1:q2] FROM n WHERE n >= 20
+  UNION ALL SELECT r, doc_id, k, j, n, '2', t[q2 + 1:n] FROM n WHERE n >= 20
+  UNION ALL SELECT r, doc_id, k, j, n, 'M', t[q1 + 1:q3] FROM n WHERE n >= 20
+  UNION ALL SELECT r, doc_id, k, j, n, 'O', list_concat(t[1:q1], t[q3 + 1:n]) FROM n WHERE n >= 20),
+keys AS (SELECT r, doc_id, k, j, n, p || n || ' ' || array_to_string(v, ' ') AS key FROM p),
+f AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= CASE WHEN max(n) >= 10 THEN 2 ELSE 10 END),
+gone AS (SELECT DISTINCT r, k, j FROM keys JOIN f USING (key) WHERE doc_id <> first),
+g AS (SELECT r, k, z.j, seg, gone.j IS NOT NULL AS off FROM z LEFT JOIN gone USING (r, k, j)),
+lines AS (SELECT r, k, bool_or(off) AS cut, coalesce(string_agg(seg, '' ORDER BY j) FILTER (NOT off), '') AS line FROM g GROUP BY r, k),
+texts AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT cut OR regexp_matches(line, '[^\x20\x09-\x0D]')), '') AS text FROM lines GROUP BY r),
+a AS (SELECT r, count(*) AS c, string_agg(k || ':' || j, ',' ORDER BY k, j) AS ks FROM gone GROUP BY r)
+SELECT doc_id, texts.text, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_dropped, coalesce(ks, '') AS dropped
+FROM d LEFT JOIN texts USING (r) LEFT JOIN a USING (r)
 """
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with shorter texts, all rows and columns kept; n_chars, where present, follows the text."""
-    out = without_recurring(docs)
+    out, d, _ = without_recurring(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(d).isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*own_columns(docs))

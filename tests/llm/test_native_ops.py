@@ -65,37 +65,90 @@ def test_quality_empty_table(spark):
     assert quality.verdicts(frame(spark, [])).count() == 0
 
 
+def records_of(line):
+    """Records by counting words: a sentence of ten words or more ends one, with one white space after it."""
+    out, begin, run, at = [], 0, 0, 0
+    while m := re.compile(r"[^\x20\x09-\x0D]+").search(line, at):
+        at = m.end()
+        run += 1
+        if line[at - 1] in ".!?" and at < len(line):
+            if run >= 10:
+                out.append(line[begin : at + 1])
+                begin = at + 1
+            run = 0
+    return [*out, line[begin:]]
+
+
+def paths_of(t):
+    n = len(t)
+    if n < 15:
+        return [("all", n, *t)]
+    if n < 20:
+        a, b = n // 3, 2 * n // 3
+        return [("to", n, *t[:b]), ("from", n, *t[a:]), ("around", n, *t[:a], "|", *t[b:])]
+    a, b, c = n // 4, n // 2, 3 * n // 4
+    return [("first", n, *t[:b]), ("last", n, *t[b:]), ("middle", n, *t[a:c]), ("outer", n, *t[:a], "|", *t[c:])]
+
+
 def dedup_brute(rows):
-    """Templates of each line, by Python; first ids keep theirs."""
+    """Templates of each record, by Python; first ids keep theirs."""
     ids, found = defaultdict(set), []
+    own = [-(2**63) if i is None else i for i, _ in rows]
+    cut = [[records_of(line) for line in t.split("\n")] if t is not None else [] for _, t in rows]
+    for n, lines in enumerate(cut):
+        for k, line in enumerate(lines):
+            for j, record in enumerate(line):
+                toks = ["<*>" if re.search("[0-9]", w) else w for w in re.split(r"[\x20\x09-\x0D]+", record) if w]
+                for key in paths_of(toks) if toks else []:
+                    ids[key].add(own[n])
+                    found.append((n, k, j, key))
+    gone = {(n, k, j) for n, k, j, key in found if len(ids[key]) >= (10 if key[1] < 10 else 2) and min(ids[key]) != own[n]}
+    out = []
     for n, (i, t) in enumerate(rows):
-        for k, line in enumerate((t if t is not None else "").split("\n")):
-            toks = ["<*>" if re.search("[0-9]", w) else w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
-            if not toks or t is None:
-                continue
-            wild = int(len(toks) * 0.3)
-            size = len(toks)
-            keys = [("E", size, *toks)] if size < 10 else [("P", size, *toks[: size - wild]), ("S", size, *toks[:3], "|", *toks[wild + 3 :])]
-            for key in keys:
-                ids[key].add(-(2**63) if i is None else i)
-                found.append((n, k, key))
-    out = defaultdict(set)
-    for n, k, key in found:
-        own = -(2**63) if rows[n][0] is None else rows[n][0]
-        if len(ids[key]) >= (10 if key[0] == "E" else 2) and min(ids[key]) != own:
-            out[n].add(k)
-    return [(i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out[n])) for n, (i, t) in enumerate(rows)]
+        lines = []
+        for k, line in enumerate(cut[n]):
+            kept = "".join(r for j, r in enumerate(line) if (n, k, j) not in gone)
+            if kept.strip("\x20\t\n\x0b\x0c\r") or not any((n, k, j) in gone for j in range(len(line))):
+                lines.append(kept)
+        out.append((i, t if t is None else "\n".join(lines)))
+    return out
 
 
 def test_line_dedup_matches_brute_force(spark):
     rnd = random.Random(3)
+    words = LONG.split()
+    long = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    sixteen, thirty = long(16), long(30)
     pool = [LONG, LONG + " 17", LONG + " 23 x9", LONG.replace("delta", "other"), "short line", "two  spaces\there", "", " ", LONG[:-2] + "nu", "Page 7 of 9"]
-    rows = [(i, "\n".join(rnd.choice(pool + [f"own line number {c} of {i} " + chr(97 + i % 26) * 3]) for c in range(rnd.randint(1, 8)))) for i in range(40)]
+    pool += [sixteen, thirty, f"One two. {thirty}. Three four.", f"{thirty}! {sixteen}? end", f" {sixteen}.  {thirty}.\t", "\r" + thirty + ".\r"]
+    edit = lambda s: " ".join(rnd.choice(words) if rnd.random() < 0.08 else w for w in s.split(" "))
+    rows = [(i, "\n".join(edit(rnd.choice(pool + [f"own line number {c} of {i} " + chr(97 + i % 26) * 3])) for c in range(rnd.randint(1, 8)))) for i in range(60)]
     rows += [(None, LONG), (50, None), (51, ""), (52, LONG + "\n" + LONG), (52, LONG + "\n" + LONG)]
+    rows += [(70, "w" * 200_000 + ". " + "no end " * 60_000), (71, "é. " * 50_000 + thirty), (72, "... " * 30 + sixteen)]
     got = linededup.drop_recurring_lines(frame(spark, rows)).select("doc_id", "text").collect()
     assert Counter(map(tuple, got)) == Counter(dedup_brute(rows))
 
 
+def test_line_dedup_generalises_separate_fields(spark):
+    """An early and a late field, a leading one, and a passage inside lines of different length."""
+    form = "dear {} we thank you most warmly for the order that you have placed with our shop on the day of {}"
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" + ("." if i % 14 == 13 else "") for i in range(56))
+    rows = [(1, form.format("Ann", "Monday")), (2, form.format("Bob", "Friday")), (3, form.replace("dear", "good").format("Cy", "Sunday"))]
+    rows += [(4, f"Quite some own words here. {passage} And more that nobody else has."), (5, f"Another start of five. {passage} Own end of the other text."), (6, form.replace("order", "car").replace("thank", "ask").replace("shop", "yard").format("Al", "May"))]
+    out = {r.doc_id: r.text for r in linededup.drop_recurring_lines(frame(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and out[4] == rows[3][1] and out[6] == rows[5][1]
+    assert out[2] == out[3] == ""
+    assert out[5].split() == ["Another", "start", "of", "five.", *passage.split()[:14], *"Own end of the other text.".split()]
+
+
+def test_line_dedup_of_text_ids_and_clashing_columns(spark):
+    names = ["id", "th", "line_no", "k", "n", "first", "dropped", "n_lines", "_x0", "_X1", "a.b"]
+    docs = spark.createDataFrame([(f"d{i}", LONG, *range(len(names))) for i in range(3)] + [(None, LONG, *range(len(names)))], ["doc_id", "text", *names])
+    out = linededup.drop_recurring_lines(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {(d, t, *range(len(names))) for d, t in [("d0", ""), ("d1", ""), ("d2", ""), (None, LONG)]}
+
+
 def test_line_dedup_keeps_columns_and_rows(spark):
     out = linededup.drop_recurring_lines(frame(spark, [(1, LONG), (2, LONG + "\nown words here")]))
     assert out.columns == SCHEMA.replace(",", "").split()[::2]
