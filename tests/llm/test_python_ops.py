@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -95,6 +96,35 @@ def test_templates_do_not_depend_on_the_size_of_the_host(spark, monkeypatch, mos
     assert got == {(i, f"http://a.example/{i}"): own[i] for i in range(600)} | {(9, "http://c.example/"): "one"}
 
 
+def test_templates_alone_take_what_surrounds_the_text(spark):
+    """No names, no article, no rules: only recurrence tells menus, alternating adverts and footers from text."""
+    rnd = random.Random(12)
+    own = [words_of(rnd, 40) for _ in range(60)]
+    adverts = [words_of(rnd, 6) for _ in range(7)]
+    page = lambda i: f"<body><div><a href=/{i}>Home</a> <a href=/x{i}>News</a></div><div>{adverts[i * i % 7]}</div><div><p>{own[i]}</p></div><div>Since 1999</div></body>"
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", page(i), "x") for i in range(60)], "page_id long, url string, html string, host string")
+    found = {r.h for r in pagetext.templates(pages).collect() if r.h is not None}
+    assert all(pagetext.text_without(page(i), found, True, rules=False) == own[i] for i in range(60))
+    assert all(pagetext.text_without(page(i), set(), True, rules=False) != own[i] for i in range(60))
+    assert {r.page_id: r.text for r in pagetext.main_text(pages).collect()} == dict(enumerate(own))
+
+
+def test_a_line_that_some_articles_share_stays(spark):
+    rnd = random.Random(13)
+    own = [words_of(rnd, 30) for _ in range(40)]
+    shared = "By the river at the old mill"
+    page = lambda i: f"<article><p>{own[i]}</p>{f'<p>{shared}</p>' if i % 4 == 0 else ''}</article>"
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", page(i), "x") for i in range(40)], "page_id long, url string, html string, host string")
+    assert {r.page_id: r.text for r in pagetext.main_text(pages).collect()} == {i: own[i] + f" {shared}" * (i % 4 == 0) for i in range(40)}
+
+
+@pytest.mark.parametrize("html,text", [("<div>" * 50_000 + "deep", "deep"), ("<b><p>" * 20_000 + "deep", "deep"), ('<i x="' * 30_000 + ">end", "end"), ("<i x='b>" * 20_001 + "end", "end"), ("<template>" * 20_000 + "end", "end"), ("<" * 100_000, "<" * 100_000), ("<!--" * 50_000, ""), ("\u0130" * 12 + "<script>s</script>Hello <SCRIPT>t</Script >world", "\u0130" * 12 + "Hello world"), ("w " * 300_000, ("w " * 300_000)[:-1])])
+def test_hostile_pages_are_parsed_in_linear_time(html, text):
+    started = time.process_time()
+    assert text_of(html) == text and pagetext.Page(html).counted() is not None
+    assert time.process_time() - started < 20
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
