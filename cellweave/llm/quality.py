@@ -1,20 +1,28 @@
 """Quality rules: word statistics, then robust multivariate outliers per language and source.
 
-Everything is DataFrame and SQL functions. One pass over the texts yields five integer statistics
-per document; all later steps read only those narrow rows.
+Everything is DataFrame and SQL functions. One pass over the texts yields integer counts per
+document; all later steps read only narrow rows made of them.
+
+Vector: log of mean word length, square roots of the shares of capitals and of marks (neither letter
+nor digit) among word characters, log of the share of different words, log of the number of words.
+It is transformed per group: less the group's median; times sqrt(n / (n + ``STEADY``)) for n words, as
+shares of a short text vary more; over the group's median absolute deviation. A dimension in which
+most documents agree is scaled by the root mean square of the others' deviations.
 
 Method: a minimum-covariance-determinant estimate per group by concentration steps. A step takes
 the ``ALPHA`` share of a group's documents nearest to the current centre, in Mahalanobis distance,
 and re-estimates centre and covariance from them. Steps go on from four deterministic starts (mean
-and covariance; median and MAD; tanh scores; spatial signs, the last two about the median) until
-the determinant falls no more, and the estimate of least determinant is taken. The nearest share is
-found from counts of distance bins, so no group is sorted or gathered in one task, and sums are of scaled integers, so
-they do not depend on the order of rows. Groups are (language, source); sources of a language with
-under ``MIN_GROUP`` documents are pooled, and if still too few, pooled over languages.
+and covariance; median and MAD; tanh scores; spatial signs) until the determinant falls no more, and
+the estimate of least determinant is taken. The nearest share is found from counts of distance bins,
+so no group is sorted or gathered in one task, and sums are of scaled integers, so they do not depend
+on the order of rows. ``FLOOR`` only guards against singular covariances: it is a twentieth of a
+dimension's own deviation. Groups are (language, source); sources of a language with under
+``MIN_GROUP`` documents are pooled, and if still too few, pooled over languages.
 
 Defined cases: null text is an empty text (no words, fails the base rule); null language or source
 is a value of its own; a pool with under ``MIN_GROUP`` documents rejects nothing beyond the base
-rule; equal rows get equal verdicts; extra columns are ignored (query) or passed on (filter).
+rule; equal rows get equal verdicts; extra columns of any name are ignored (query) or passed on
+(filter); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import WS_CLASS, guarded, table, text_hash, written, ws_words
+from cellweave.llm.common import guarded, keep_rows, released, table, text_hash, written, ws_words
 
 MIN_WORDS = 50
 MIN_GROUP = 60
@@ -35,14 +43,18 @@ STEPS = 4
 STARTS = 4
 FALL = 1e-6
 #: Share of a Gaussian group that may be rejected by its distance.
-TAIL = 1e-5
-#: Statistics are kept as integers of 1/SCALE.
+TAIL = 1e-9
+#: Transformed statistics are kept as integers of 1/SCALE deviations, raw ones of 1/RAW.
 SCALE = 1000
+RAW = 10_000
 BINS_PER_E = 32
+#: Words from which a text's shares vary with its kind rather than its length.
+STEADY = 300
+#: Least deviation of a dimension beside those before it, in units of its own.
+FLOOR = 0.05
 #: Broadcast bound: a group's parameters are about 200 bytes.
 MAX_BROADCAST_GROUPS = 50_000
-#: Transformed statistics and the least standard deviation assumed for each.
-DIMS = (("x_len", 0.10), ("x_symbol", 0.12), ("x_upper", 0.10), ("x_repeat", 0.12), ("x_dup", 0.15))
+DIMS = ("x_len", "x_upper", "x_mark", "x_distinct", "x_size")
 P = len(DIMS)
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -73,7 +85,7 @@ CUTOFF = chi2_quantile(1 - TAIL, P)
 
 
 def word_stats(docs: DataFrame) -> DataFrame:
-    """Adds ``STATS``, ``n_lines`` and ``n_upper`` to each row, row by row and in linear-log time."""
+    """Adds ``STATS``, ``n_upper``, ``n_mark`` and ``n_distinct`` to each row, row by row and in linear-log time."""
     df = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_w", ws_words(F.col("_t")))
     df = df.withColumn(
         "_h",
@@ -108,8 +120,9 @@ def word_stats(docs: DataFrame) -> DataFrame:
                 "coalesce(aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1) - x, 3))),"
                 " 0L, (a, x) -> a + x), 0L)"
             ),
-            "n_lines": F.size("_l").cast("long"),
             "n_upper": (F.length("_t") - F.length(F.regexp_replace("_t", r"\p{Lu}+", ""))).cast("long"),
+            "n_mark": F.length(F.regexp_replace("_t", r"[\p{L}\p{N}\x20\x09-\x0D]+", "")).cast("long"),
+            "n_distinct": F.size(F.array_distinct("_w")).cast("long"),
         }
     ).drop("_t", "_w", "_h", "_l", "_s", "_p")
 
@@ -118,21 +131,38 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _scaled(x: Column) -> Column:
-    return F.round(F.coalesce(x, F.lit(0.0)) * SCALE).cast("long")
-
-
 def _vector(df: DataFrame) -> DataFrame:
-    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    return df.withColumns(
-        {
-            "x_len": _scaled(F.log(share("word_chars", "n_words"))),
-            "x_symbol": _scaled(F.sqrt(share("n_symbols", "n_words"))),
-            "x_upper": _scaled(F.sqrt(share("n_upper", "word_chars"))),
-            "x_repeat": _scaled(share("n_repeat_words", "n_words")),
-            "x_dup": _scaled(F.sqrt(share("n_dup_lines", "n_lines"))),
-        }
+    """Adds the raw statistics of documents with words; null else."""
+    n, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
+    raw = {
+        "x_len": F.log(chars / n),
+        "x_upper": F.sqrt(F.col("n_upper") / chars),
+        "x_mark": F.sqrt(F.col("n_mark") / chars),
+        "x_distinct": F.log(F.col("n_distinct") / n),
+        "x_size": F.log(n),
+    }
+    return df.withColumns({k: F.when(F.col("n_words") > 0, F.round(x * RAW).cast("long")) for k, x in raw.items()})
+
+
+def transformed(rows: DataFrame, n_groups: int) -> DataFrame:
+    """``rows`` (grp, n_words, raw statistics) with the statistics centred and scaled by group, in 1/SCALE deviations."""
+    each = lambda f: [f(i, n) for i, n in enumerate(DIMS)]
+    known = rows.where(~base_failed())
+    medians = written(known.groupBy("grp").agg(*each(lambda i, n: F.percentile(n, F.lit(0.5)).alias(f"med_{i}"))), "medians")
+    steady = F.sqrt(F.col("n_words") / (F.col("n_words") + STEADY))
+    centred = lambda df: df.join(guarded(medians, n_groups, MAX_BROADCAST_GROUPS), "grp", "left").withColumns(
+        {n: F.round((F.col(n) - F.col(f"med_{i}")) * steady).cast("long") for i, n in enumerate(DIMS)}
+    ).drop(*each(lambda i, n: f"med_{i}"))
+    scales = centred(known).groupBy("grp").agg(
+        *each(lambda i, n: F.percentile(F.abs(n), F.lit(0.5)).alias(f"mad_{i}")),
+        *each(lambda i, n: F.sqrt(F.sum(F.col(n) * F.col(n)) / F.nullif(F.count_if(F.col(n) != 0), F.lit(0))).alias(f"rms_{i}")),
     )
+    scales = written(
+        scales.select("grp", *each(lambda i, n: F.when(F.col(f"mad_{i}") > 0, F.col(f"mad_{i}") * 1.4826).otherwise(F.coalesce(f"rms_{i}", F.lit(1.0))).alias(f"sd_{i}"))),
+        "scales",
+    )
+    out = centred(rows).join(guarded(scales, n_groups, MAX_BROADCAST_GROUPS), "grp", "left")
+    return out.withColumns({n: F.round(F.col(n) / F.col(f"sd_{i}") * SCALE).cast("long") for i, n in enumerate(DIMS)}).drop(*each(lambda i, n: f"sd_{i}"))
 
 
 def _groups(stats: DataFrame) -> DataFrame:
@@ -153,7 +183,7 @@ def _groups(stats: DataFrame) -> DataFrame:
 
 
 def _moments() -> list[Column]:
-    names = [n for n, _ in DIMS]
+    names = DIMS
     return [F.count("*").alias("m")] + [F.sum(n).alias(f"s_{i}") for i, n in enumerate(names)] + [
         F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}")
         for i, a in enumerate(names)
@@ -183,7 +213,7 @@ def _factored(df: DataFrame) -> DataFrame:
             cov = F.col(f"c_{i}_{j}")
             for k in range(j):
                 cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            value = F.sqrt(F.greatest(cov, F.lit(DIMS[i][1] ** 2))) if i == j else cov / F.col(f"l_{j}_{j}")
+            value = F.sqrt(F.greatest(cov, F.lit(FLOOR**2))) if i == j else cov / F.col(f"l_{j}_{j}")
             df = df.withColumn(f"l_{i}_{j}", value)
     log_det = sum((F.log(f"l_{i}_{i}") for i in range(1, P)), F.log("l_0_0")) * 2
     return df.select(
@@ -191,26 +221,12 @@ def _factored(df: DataFrame) -> DataFrame:
     )
 
 
-def _starts(stats: DataFrame, n_groups: int) -> DataFrame:
-    """The first estimates of each group, by start."""
-    names = [n for n, _ in DIMS]
-    medians = stats.groupBy("grp").agg(*[F.percentile(n, F.lit(0.5)).alias(f"med_{i}") for i, n in enumerate(names)])
-    medians = written(medians, "medians")
-    off = stats.join(guarded(medians, n_groups, MAX_BROADCAST_GROUPS), "grp")
-    mads = off.groupBy("grp").agg(
-        *[F.percentile(F.abs(F.col(n) - F.col(f"med_{i}")), F.lit(0.5)).alias(f"mad_{i}") for i, n in enumerate(names)]
-    )
-    scales = medians.join(mads, "grp").select(
-        "grp",
-        *[(F.col(f"med_{i}") / SCALE).alias(f"mu_{i}") for i in range(P)],
-        *[F.greatest(F.col(f"mad_{i}") / SCALE * 1.4826, F.lit(DIMS[i][1])).alias(f"sd_{i}") for i in range(P)],
-    )
-    scales = written(scales, "scales")
-    scored = stats.join(guarded(scales, n_groups, MAX_BROADCAST_GROUPS), "grp")
-    scored = scored.withColumns({f"_z{i}": (F.col(n) / SCALE - F.col(f"mu_{i}")) / F.col(f"sd_{i}") for i, n in enumerate(names)})
+def _starts(stats: DataFrame) -> DataFrame:
+    """The first estimates of each group, by start. Medians are 0 and deviations 1 already."""
+    scored = stats.withColumns({f"_z{i}": F.col(n) / SCALE for i, n in enumerate(DIMS)})
     norm = F.sqrt(sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(1, P)), F.col("_z0") * F.col("_z0")))
     scored = scored.withColumn("_norm", norm)
-    version = lambda start, of: F.struct(F.lit(start).alias("start"), *[of(i, n).cast("long").alias(n) for i, n in enumerate(names)])
+    version = lambda start, of: F.struct(F.lit(start).alias("start"), *[of(i, n).cast("long").alias(n) for i, n in enumerate(DIMS)])
     versions = scored.select(
         "grp",
         F.explode(
@@ -222,16 +238,15 @@ def _starts(stats: DataFrame, n_groups: int) -> DataFrame:
         ).alias("v"),
     ).select("grp", "v.*")
     sums = written(versions.groupBy("grp", "start").agg(*_moments()), "starts")
-    robust = sums.where("start > 0").join(scales, "grp").unionByName(scales.withColumn("start", F.lit(1)), allowMissingColumns=True)
     # Signs have a mean square of 1 / P a dimension.
     factor = F.when(F.col("start") == 3, float(P)).otherwise(1.0)
-    robust = robust.withColumns(
+    plain = sums.where("start = 0").withColumn("start", F.lit(1))
+    robust = sums.where("start > 0").unionByName(plain)
+    robust = robust.withColumns({f"mu_{i}": F.lit(0.0) for i in range(P)}).withColumns(
         {
             f"c_{i}_{j}": F.when(F.col("start") == 1, F.lit(1.0 if i == j else 0.0)).otherwise(
                 F.col(f"s_{i}_{j}") / F.col("m") / SCALE / SCALE * factor
             )
-            * F.col(f"sd_{i}")
-            * F.col(f"sd_{j}")
             for i in range(P)
             for j in range(i + 1)
         }
@@ -241,7 +256,7 @@ def _starts(stats: DataFrame, n_groups: int) -> DataFrame:
 
 def _distance(df: DataFrame) -> DataFrame:
     """Adds ``d2``, the squared Mahalanobis distance, by forward substitution."""
-    for i, (name, _) in enumerate(DIMS):
+    for i, name in enumerate(DIMS):
         z = F.col(name) / SCALE - F.col(f"mu_{i}")
         for k in range(i):
             z = z - F.col(f"l_{i}_{k}") * F.col(f"_z{k}")
@@ -250,8 +265,8 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame, n_groups: int) -> DataFrame:
-    """MCD parameters of each group; ``stats`` has grp and the vector of documents that pass the base rule."""
-    params = written(_starts(stats, n_groups), "mcd0")
+    """MCD parameters of each group; ``stats`` has grp and the transformed vector of documents that pass the base rule."""
+    params = written(_starts(stats), "mcd0")
     d_bin = F.greatest(F.lit(-400), F.floor(F.log(F.col("d2") + 1e-9) * BINS_PER_E)).cast("int")
     upto = Window.partitionBy("grp", "start").orderBy("bin")
     whole = Window.partitionBy("grp", "start")
@@ -261,7 +276,7 @@ def fit(stats: DataFrame, n_groups: int) -> DataFrame:
         for _ in range(STEPS):
             step += 1
             near = _distance(stats.join(guarded(params, n_groups * STARTS, MAX_BROADCAST_GROUPS), "grp")).select(
-                "grp", "start", *[n for n, _ in DIMS], d_bin.alias("bin")
+                "grp", "start", *DIMS, d_bin.alias("bin")
             )
             # Sums per distance bin: a few hundred rows a group; the nearest ALPHA share is a prefix of its bins.
             bins = near.groupBy("grp", "start", "bin").agg(*_moments())
@@ -284,22 +299,24 @@ def fit(stats: DataFrame, n_groups: int) -> DataFrame:
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, th (text hash), STATS, base_failed, distance, kept."""
-    stats = written(
+    """One row per document row: doc_id, th (text hash), STATS, base_failed, distance2, kept."""
+    counts = written(
         _vector(word_stats(docs.select("doc_id", "text", "lang", "source", text_hash().alias("th")))).select(
-            "doc_id", "th", "lang", "source", *STATS, *[n for n, _ in DIMS]
+            "doc_id", "th", "lang", "source", *STATS, *DIMS
         ),
-        "stats",
+        "counts",
     )
-    groups = written(_groups(stats), "groups")
+    groups = written(_groups(counts), "groups")
     n_groups = groups.count()
     same = F.col("a.lang").eqNullSafe(F.col("g.lang")) & F.col("a.source").eqNullSafe(F.col("g.source"))
     rows = (
-        stats.alias("a")
+        counts.alias("a")
         .join(guarded(groups, n_groups, MAX_BROADCAST_GROUPS).alias("g"), same, "left")
-        .select("a.*", F.col("g.grp"), base_failed().alias("base_failed"))
+        .select("a.doc_id", "a.th", *[f"a.{n}" for n in (*STATS, *DIMS)], F.col("g.grp"), base_failed().alias("base_failed"))
     )
-    passed = rows.where(~F.col("base_failed"))
+    rows = written(transformed(rows, n_groups), "vectors")
+    released(counts)
+    passed = rows.where(~F.col("base_failed")).select("grp", *DIMS)
     params = fit(passed, n_groups)
     size = passed.groupBy("grp").agg(F.count("*").alias("n_group"))
     params = written(params.join(size, "grp"), "params")
@@ -311,14 +328,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(table(spark, sf_dir, "documents")).drop("th", "distance2")
+    """doc_id, the base statistics, base_failed and kept, and the squared distance (null without words)."""
+    return verdicts(table(spark, sf_dir, "documents")).drop("th")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that pass the rules, columns unchanged. Equal rows share their verdict."""
-    good = verdicts(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    return (
-        docs.withColumn("_h", text_hash())
-        .join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-        .drop("_h")
-    )
+    return keep_rows(docs, verdicts(docs).where("kept"), "left_semi")

@@ -325,18 +325,40 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(frame(spark, [(1, None), (2, "")])).count() == 2
 
 
-@pytest.mark.parametrize("share", [0.18, 0.2, 0.24])
+def distances(spark, vectors):
+    """Squared distances of one group of vectors, in deviations."""
+    rows = [(i, 1, *(round(v * quality.SCALE) for v in x)) for i, x in enumerate(vectors)]
+    stats = spark.createDataFrame(rows, "doc_id long, grp long, " + ", ".join(f"{n} long" for n in quality.DIMS))
+    return {r.doc_id: r.d2 for r in quality._distance(stats.join(quality.fit(stats, 1), "grp")).collect()}
+
+
+@pytest.mark.parametrize("share", [0.2])
 def test_quality_withstands_a_tight_cluster(spark, share):
     rnd = random.Random(8)
-    names = [n for n, _ in quality.DIMS]
     bad = int(share * 1000)
-    rows = []
-    for i in range(1000):
-        x = [rnd.gauss(0.5, s) for _, s in quality.DIMS]
-        if i < bad:
-            x = [rnd.gauss(m, 0.02) for m in (0.5, 0.5, 0.5, 1.15, 1.45)]
-        rows.append((i, 1, *(round(v * quality.SCALE) for v in x)))
-    stats = spark.createDataFrame(rows, "doc_id long, grp long, " + ", ".join(f"{n} long" for n in names))
-    d2 = {r.doc_id: r.d2 for r in quality._distance(stats.join(quality.fit(stats, 1), "grp")).collect()}
+    cluster = [[rnd.gauss(m, 0.1) for m in (0, 0, 0, 9, 7)] for _ in range(bad)]
+    d2 = distances(spark, cluster + [[rnd.gauss(0, 1) for _ in quality.DIMS] for _ in range(bad, 1000)])
     assert all(d2[i] > quality.CUTOFF for i in range(bad))
     assert sum(d2[i] <= quality.CUTOFF for i in range(bad, 1000)) >= 0.99 * (1000 - bad)
+    assert 3 < sorted(d2.values())[(1000 + bad) // 2] < 9
+
+
+def test_quality_rejects_by_covariance_what_each_statistic_allows(spark):
+    rnd = random.Random(9)
+    clean = []
+    for _ in range(500):
+        a = rnd.gauss(0, 1)
+        clean.append([rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.gauss(0, 1), a, -a + rnd.gauss(0, 0.2)])
+    odd = [[0, 0, 0, 2, 2], [0, 0, 0, -2, -2]]
+    d2 = distances(spark, odd + clean)
+    assert min(d2[0], d2[1]) > quality.CUTOFF > 8  # 8 without covariances
+    assert sum(d2[i] <= quality.CUTOFF for i in range(2, 502)) == 500
+
+
+def test_quality_of_hard_columns(spark):
+    """Clashing names, null languages, a statistic that no document varies in."""
+    rnd = random.Random(10)
+    text = lambda i: " ".join(chr(97 + rnd.randrange(26)) * rnd.randint(1, 5) for _ in range(60 + i))
+    docs = spark.createDataFrame([(i, text(i), None, None, i, i, i, i) for i in range(90)], "doc_id long, text string, lang string, source string, grp long, th long, _h long, `a.b` long")
+    out = quality.keep_good(docs)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == set(range(90))

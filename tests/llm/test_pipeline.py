@@ -38,16 +38,27 @@ def corpus():
     return [*rows, (900, None, None, None, None), (901, "", "aa", "s1", 0)], items
 
 
+def guarded_cov(c):
+    """The covariance with each dimension's deviation beside those before it at least FLOOR."""
+    low = np.zeros_like(c)
+    for i in range(len(c)):
+        for j in range(i + 1):
+            v = c[i, j] - low[i, :j] @ low[j, :j]
+            low[i, j] = math.sqrt(max(v, quality.FLOOR**2)) if i == j else v / low[j, j]
+    return low @ low.T
+
+
 def quality_brute(rows):
-    """Minimum-covariance-determinant verdicts with numpy: kept row numbers."""
+    """Minimum-covariance-determinant verdicts with numpy, each start run far beyond convergence: kept row numbers."""
+    rounded = lambda v: np.sign(v) * np.floor(np.abs(v) + 0.5)
     stats = []
     for _, t, lang, source, _ in rows:
-        n, chars, symbols, dup, repeat = base(t)
-        lines = sum(any(c not in "\x20\t\n\x0b\x0c\r" for c in x) for x in (t or "").split("\n"))
-        upper = sum(c.isupper() for c in t or "")
-        div = lambda a, b: a / b if b else 0.0
-        x = [math.log(chars / n) if n else 0.0, math.sqrt(div(symbols, n)), math.sqrt(div(upper, chars)), div(repeat, n), math.sqrt(div(dup, lines))]
-        stats.append((np.array([math.floor(v * quality.SCALE + 0.5) if v >= 0 else -math.floor(-v * quality.SCALE + 0.5) for v in x]) / quality.SCALE, n >= 50 and 100 * repeat <= 50 * n, lang, source))
+        n, chars, _, _, repeat = base(t)
+        t = t or ""
+        words = t.split()
+        marks = sum(not c.isalnum() for w in words for c in w)
+        x = [0.0] * 5 if not n else [math.log(chars / n), math.sqrt(sum(c.isupper() for c in t) / chars), math.sqrt(marks / chars), math.log(len(set(words)) / n), math.log(n)]
+        stats.append((rounded(np.array(x) * quality.RAW), n >= 50 and 100 * repeat <= 50 * n, lang, source, n))
     size = Counter((s[2], s[3]) for s in stats if s[1])
     pool = Counter()
     for (lang, _), n in size.items():
@@ -58,20 +69,27 @@ def quality_brute(rows):
         if s[1]:
             members[group(s)].append(i)
     kept = set()
-    floor = np.diag([f**2 for _, f in quality.DIMS])
     for rows_of in members.values():
         x = np.array([stats[i][0] for i in rows_of])
-        near, factor = np.ones(len(x), bool), 1.0
-        for step in range(quality.STEPS + 1):
-            mu = x[near].mean(axis=0)
-            cov = (x[near].T @ x[near] / near.sum() - np.outer(mu, mu)) * factor + floor
-            d2 = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
-            bins = np.maximum(-400, np.floor(np.log(d2 + 1e-9) * quality.BINS_PER_E))
-            before = np.array([(bins < b).sum() for b in bins])
-            near, factor = before < quality.ALPHA * len(x), quality.CONSISTENCY
-        for i, d in zip(rows_of, d2):
-            if len(x) < quality.MIN_GROUP or d <= quality.CUTOFF:
-                kept.add(i)
+        n = np.array([stats[i][4] for i in rows_of])
+        y = rounded((x - np.median(x, axis=0)) * np.sqrt(n / (n + quality.STEADY))[:, None])
+        mad = np.median(np.abs(y), axis=0) * 1.4826
+        rms = np.sqrt((y**2).sum(axis=0) / np.maximum((y != 0).sum(axis=0), 1))
+        z = rounded(y / np.where(mad > 0, mad, np.where(rms > 0, rms, 1)) * quality.SCALE) / quality.SCALE
+        signs = z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+        starts = [(z.mean(axis=0), np.cov(z.T, bias=True)), (np.zeros(5), np.eye(5)), (np.zeros(5), np.tanh(z).T @ np.tanh(z) / len(z)), (np.zeros(5), 5 * signs.T @ signs / len(z))]
+        best = None
+        for mu, cov in starts:
+            for _ in range(60):
+                cov = guarded_cov(cov)
+                d2 = np.einsum("ij,jk,ik->i", z - mu, np.linalg.inv(cov), z - mu)
+                bins = np.maximum(-400, np.floor(np.log(d2 + 1e-9) * quality.BINS_PER_E))
+                near = np.array([(bins < b).sum() for b in bins]) < quality.ALPHA * len(z)
+                mu, cov = z[near].mean(axis=0), np.cov(z[near].T, bias=True) * quality.CONSISTENCY
+            cov = guarded_cov(cov)
+            if best is None or np.linalg.slogdet(cov)[1] < best[0] - 1e-6:
+                best = np.linalg.slogdet(cov)[1], np.einsum("ij,jk,ik->i", z - mu, np.linalg.inv(cov), z - mu)
+        kept |= {i for i, d in zip(rows_of, best[1]) if len(z) < quality.MIN_GROUP or d <= quality.CUTOFF}
     return kept
 
 
