@@ -3,7 +3,10 @@
 Credentials that the base patterns find in all documents are the labelled examples.
 For each kind a prefix-tree automaton of their character classes is built, and states whose
 outgoing frequencies are statistically compatible (Hoeffding bounds on every transition and on
-ending, recursively) are merged, which leaves a probabilistic automaton. Every other candidate
+ending, recursively, and on the distribution of the length that is left) are merged, which leaves a
+probabilistic automaton. States of one depth are tried first; states of different depths are merged
+only on evidence, ``LOOP`` examples through each, and have lengths left that agree: so a format of
+fixed length is a chain, with its letters by place, and one of free length has loops. Every other candidate
 string, anywhere in a text, is scored whole by its likelihood per character under each automaton; it
 is a secret if it is at least as likely as all but ``MISSED`` of the automaton's own examples.
 Candidates are what base spans leave of the runs of credential characters, and their parts between
@@ -16,7 +19,9 @@ picked by partition, then by ``SALTS`` parts of the hashes, then as a whole. All
 scanned, whole.
 
 Defined cases: null text is empty; a kind with under ``LEAST_EXAMPLES`` different examples in the
-whole table has no automaton and the method adds nothing for it.
+whole table has no automaton and the method adds nothing for it; repeated rows and equal strings are
+one example; doc_ids may be of any type and are not read; other columns are ignored; an empty table
+gives no rows; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ SALTS = 64
 #: Characters of a kind's examples, which the driver holds as a prefix tree.
 TREE = 500_000
 CONFIDENCE = 0.05
+#: Examples through each of two states of different depths that may be merged.
+LOOP = 30
 MISSED = 0.02
 #: Probability of a character class that a state never showed.
 UNSEEN = 1e-4
@@ -86,20 +93,44 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[dict[str, int]] = [{}]
         self.ends = [0]
+        self.depth = [0]
+        #: How often each length is left.
+        self.left: list[dict[int, int]] = [{}]
         for s in strings:
             q = 0
-            for c in s:
+            for i, c in enumerate(s):
+                self._leave(q, len(s) - i, 1)
                 self.seen[q][c] = self.seen[q].get(c, 0) + 1
                 if c not in self.next[q]:
                     self.next[q][c] = len(self.next)
                     self.next.append({})
                     self.seen.append({})
                     self.ends.append(0)
+                    self.depth.append(i + 1)
+                    self.left.append({})
                 q = self.next[q][c]
+            self._leave(q, 0, 1)
             self.ends[q] += 1
         self._merge()
         self.logs: dict[int, dict[str, float]] = {}
 
+    def _leave(self, q: int, length: int, n: int) -> None:
+        self.left[q][length] = self.left[q].get(length, 0) + n
+
+    @staticmethod
+    def _bound(n: int, m: int) -> float:
+        return math.sqrt(0.5 * math.log(2 / CONFIDENCE)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def _same_lengths(self, a: int, b: int) -> bool:
+        """Whether the distributions of the length left differ by no more than chance."""
+        n, m = self._total(a), self._total(b)
+        bound, apart = self._bound(n, m), 0.0
+        for x in sorted(self.left[a].keys() | self.left[b].keys()):
+            apart += self.left[a].get(x, 0) / n - self.left[b].get(x, 0) / m
+            if abs(apart) > bound:
+                return False
+        return True
+
     def _total(self, q: int) -> int:
         return self.ends[q] + sum(self.seen[q].values())
 
@@ -111,7 +142,7 @@ class Automaton:
             n, m = self._total(a), self._total(b)
             if not n or not m:
                 continue
-            bound = math.sqrt(0.5 * math.log(2 / CONFIDENCE)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            bound = self._bound(n, m)
             if abs(self.ends[a] / n - self.ends[b] / m) > bound:
                 return False
             for c in self.seen[a].keys() | self.seen[b].keys():
@@ -126,6 +157,8 @@ class Automaton:
         while stack:
             a, b = stack.pop()
             self.ends[a] += self.ends[b]
+            for x, n in self.left[b].items():
+                self._leave(a, x, n)
             for c, n in self.seen[b].items():
                 self.seen[a][c] = self.seen[a].get(c, 0) + n
                 if c in self.next[a]:
@@ -133,16 +166,26 @@ class Automaton:
                 else:
                     self.next[a][c] = self.next[b][c]
 
+    def _home(self, red: list[int], q: int) -> int | None:
+        """The state that a state is merged into: of its own depth, or else of any, on evidence."""
+        n = self._total(q)
+        for own in (True, False):
+            for r in red:
+                if own != (self.depth[r] == self.depth[q]) or not own and min(n, self._total(r)) < LOOP:
+                    continue
+                if self._same_lengths(r, q) and self._compatible(r, q):
+                    return r
+        return None
+
     def _merge(self) -> None:
         red, blue = [0], [(0, c) for c in sorted(self.next[0])]
         while blue:
-            parent, c = blue.pop(0)
+            # The most travelled first, so that rare states meet those that have evidence.
+            parent, c = max(blue, key=lambda b: (-self.depth[self.next[b[0]][b[1]]], self._total(self.next[b[0]][b[1]]), b))
             q = self.next[parent][c]
-            for r in red:
-                if self._compatible(r, q):
-                    self.next[parent][c] = r
-                    self._fold(r, q)
-                    break
+            if (r := self._home(red, q)) is not None:
+                self.next[parent][c] = r
+                self._fold(r, q)
             else:
                 red.append(q)
             known = set(red)
@@ -153,6 +196,7 @@ class Automaton:
             [self.seen[q] for q in red],
             [self.ends[q] for q in red],
         )
+        del self.depth, self.left
 
     def likelihood(self, s: str, least: float = -math.inf) -> float:
         """Mean log probability a character, the end included; less than ``least`` as soon as it cannot reach it."""

@@ -171,6 +171,36 @@ def test_candidates_are_whole_parts_of_runs_as_short_as_the_format():
     assert g.likely(long()) == "hex" and g.likely(pick("0123456789abcdef", 129)) is None
 
 
+def test_automata_keep_places_and_lengths():
+    rnd = random.Random(14)
+    some = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    fixed = ["AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16) for _ in range(200)]
+    free = [some("0123456789abcdef", rnd.randint(20, 60)) for _ in range(300)]
+    grammar = secrets.Grammar({"access": fixed, "hex": free})
+    states = {k: len(a.next) for k, (a, _) in grammar.automata.items()}
+    assert states["access"] >= 21 and states["hex"] < 21  # free lengths loop
+    found = lambda g, x: [k for _, k, _ in g.spans(f"key {x} end", [])]
+    other = ["ASIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16) for _ in range(100)]
+    assert sum(found(grammar, x) == ["learned"] for x in other) >= 90
+    assert not any(found(grammar, x[:-1]) or found(grammar, x + "7") or found(grammar, "k" + x[1:]) for x in other)
+    assert sum(found(grammar, some("0123456789abcdef", n)) == ["learned"] for n in range(22, 58)) >= 30
+    # The method switched off finds none of them.
+    assert not any(found(secrets.Grammar({}), x) for x in other)
+
+
+def test_learned_spans_of_planted_formats_through_the_query(spark, tmp_path):
+    rnd = random.Random(15)
+    some = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(f"d{i}", f"some words token={some(18)} and more", i) for i in range(60)]
+    rows += [(f"e{i}", f"plain words beside {some(18)} and 4411 2200 1234567890123456", i) for i in range(40)] + [("n", None, 0), ("n", None, 0), (None, "w " * 200_000, 1)]
+    spark.createDataFrame(rows, "doc_id string, text string, kind int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets.op3(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert sum(r.n_learned for r in got if r.doc_id and r.doc_id[0] == "e") >= 36
+    assert sum(r.n_learned for r in got if not r.doc_id or r.doc_id[0] != "e") == 0
+    assert all(r.spans == f"learned:19:{19 + 18}" for r in got if r.n_learned)
+
+
 def test_rare_kinds_keep_their_examples_in_a_large_table(spark):
     docs = spark.range(60_000).selectExpr("id as doc_id", "if(id % 5000 = 7, concat('AKIA', substr(upper(md5(string(id))), 1, 16)), 'some text') as text")
     found = secrets.labelled(docs)
