@@ -49,7 +49,7 @@ CONFIDENCE = 0.05
 LOOP = 30
 MISSED = 0.02
 #: Probability of a character class that a state never showed.
-UNSEEN = 1e-4
+UNSEEN = 1e-9
 UNSEEN_LOG = math.log(UNSEEN)
 
 KINDS = ("assign", "access", "hex")
