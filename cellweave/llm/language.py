@@ -10,7 +10,10 @@ of doc_id, each counted in the executors; only counts of n-grams reach the drive
 ``KEPT`` of a language.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is all text
-when nothing was learned; null languages teach nothing.
+when nothing was learned; null languages and null doc_ids teach nothing; repeated rows are rows of
+their own, with equal predictions; beyond ``MAX_LANGUAGES`` languages, the largest by documents (then
+by name) are learned, as profiles are held in memory; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -46,9 +49,14 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of a text and how often each occurs, by code."""
     total: dict[int, int] = {}
     codes = counts = np.zeros(0, np.int64)
-    text = text or ""
-    for at in range(0, len(text), CHUNK):
-        a = np.frombuffer((" " + text[at : at + CHUNK].lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    text = (text or "").lower()
+    end = 0
+    while (at := end) < len(text):
+        # A piece ends before a character that is no letter, which words are cut at anyway.
+        end = at + CHUNK
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        a = np.frombuffer((" " + text[at:end] + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         a = np.where(_letters()[a], a, 0)
         a = a[(a != 0) | np.append(True, a[:-1] != 0)]
         one = a[a != 0]
@@ -113,9 +121,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame) -> Profiles:
     rows = docs.where("lang is not null and text is not null").where(~held_out(4, 2))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES).collect()
     known = docs.sparkSession.createDataFrame([(r["lang"], r["size"]) for r in sizes], "lang string, size long")
     picked = rows.select("doc_id", "lang", "text").join(F.broadcast(known), "lang").where(
         F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < F.lit(1_000_000) * SAMPLE / F.col("size")

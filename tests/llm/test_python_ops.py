@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -259,14 +260,28 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scored(docs.limit(0), toxicity.learn(docs, none)).count() == 0
 
 
-def test_toxicity_windows_cover_whole_text(monkeypatch):
-    text = "alpha beta gamma delta " * 50
-    assert len(list(toxicity.windows(text))) == -(-200 // toxicity.WINDOW)
-    monkeypatch.setattr(toxicity, "CHUNK", 64)
-    assert len(list(toxicity.windows(text))) >= 200 // toxicity.WINDOW
+@pytest.mark.parametrize("chunk", [5, 64, 1000])
+def test_toxicity_windows_do_not_depend_on_pieces(monkeypatch, chunk):
+    text = "alpha  beta\tgamma \u0130delta " * 50 + "w" * 300 + " end of it"
+    whole = list(toxicity.windows(text))
+    assert len(whole) == -(-204 // toxicity.WINDOW)
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    assert list(toxicity.windows(text)) == whole
     assert list(toxicity.windows("")) == list(toxicity.windows(None)) == []
 
 
+def test_toxicity_of_hard_rows(spark):
+    """Repeated and null ids, long texts through the query's functions, clashing names, text ids."""
+    made = toxic_texts(80, ["wixplog"], 3)
+    texts, bad = [t for _, t, _ in made], {i for i, _, y in made if y}
+    rows = [(f"d{i}", t, i) for i, t in enumerate(texts)] + [("d0", texts[0], 0), (None, texts[1], 1), ("x", None, 2), ("long", "calm words here " * 40_000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    labels = spark.createDataFrame([(f"d{i}", int(i in bad)) for i in range(80)] + [(None, 1), ("d1", None)], "doc_id string, toxic int")
+    got = toxicity.scored(docs, toxicity.learn(docs, labels)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == "d0"}) == 1
+
+
 def test_language(spark):
     rnd = random.Random(4)
     make = {"xx": ["tha", "wen", "ing", "sho"], "yy": ["été", "oui", "ail", "que"], "zz": ["sch", "ung", "ßen", "äch"]}
@@ -282,13 +297,39 @@ def test_language(spark):
     assert language.identified(docs, language.learn(empty)).where("lang_pred != 'und'").count() == 0
 
 
-def test_long_texts_count_as_short_ones(monkeypatch):
-    t = "ab cd " * 100
+@pytest.mark.parametrize("chunk", [1, 5, 6, 7, 100])
+def test_long_texts_count_as_short_ones(monkeypatch, chunk):
+    t = "ab cde,fghij \u0130klm \u00dfn  " * 100 + "x" * 50
     one = dict(zip(*(x.tolist() for x in language.grams(t))))
-    monkeypatch.setattr(language, "CHUNK", 6)
+    monkeypatch.setattr(language, "CHUNK", chunk)
     assert dict(zip(*(x.tolist() for x in language.grams(t)))) == one
 
 
+def test_rank_order_matches_plain_dictionaries():
+    rnd = random.Random(16)
+    make = lambda syllables, n: " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    learned = {"a": make(["tha", "wen", "ing"], 400), "b": make(["wen", "ung", "sch"], 400)}
+
+    def counts(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        return Counter(x for w in words for p in [f" {w} "] for x in [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))])
+
+    def code(gram):
+        c = [0 if x == " " else ord(x) for x in gram]
+        return c[0] if len(c) == 1 else (c[0] << 21 | c[1]) | (1 << 62) if len(c) == 2 else c[0] << 42 | c[1] << 21 | c[2]
+
+    rank = lambda n: {g: i for i, (g, _) in enumerate(sorted(((code(g), k) for g, k in n.items()), key=lambda x: (-x[1], x[0]))[: language.TOP])}
+    profiles = language.Profiles({k: [(code(g), n) for g, n in counts(t).items()] for k, t in learned.items()})
+    for _ in range(40):
+        text = make(["tha", "wen", "sch", "ung"], rnd.randint(1, 60)) + " 12, x!"
+        own = rank(counts(text))
+        away = {k: sum(abs(r - rank(counts(t)).get(g, r + language.TOP)) for g, r in own.items()) for k, t in learned.items()}
+        near = {k: 1 - d / (language.TOP * len(own)) for k, d in away.items()}
+        want = min(away, key=lambda k: (away[k], k))
+        got, score = profiles.predict(text)
+        assert got == want and abs(score - near[want] / sum(near.values())) < 1e-12
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return tokencount.PrefixBpe(public_tokenizers.path("byte_bpe_50k.json"))
