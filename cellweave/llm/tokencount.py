@@ -3,15 +3,20 @@
 An encoding that ends in token t is the encoding of the text before t, followed by t, if and only
 if the pair (token before t, t) is itself encoded as those two tokens. So one pass over a piece
 finds, for every prefix, its last token and its count: count[j] = count[i] + 1. Pieces are what the
-tokenizer's pattern cuts; a text's counts are running sums over its pieces, and a truncation or
-budget question reads them and re-encodes nothing but the piece that the cut falls in.
+tokenizer's pattern cuts; a text's counts are running sums over its pieces. The counts of all
+prefixes are kept, so a truncation or budget question (``fit_chars``: how much of a text a limit
+holds) looks them up and encodes nothing again, but for a cut in white space or in a contraction,
+where a prefix is cut into other pieces than the text: then that white space or contraction alone.
 
-Pieces' counts are kept in a cache of ``CACHE`` entries a worker. Characters that this library's
+Pieces' counts are kept in a cache of ``CACHE`` entries a worker; prefix counts of pieces of one
+token are not kept, as none of their prefixes has fewer. Characters that this library's
 pattern engine classes differently from the tokenizer's are found by asking the tokenizer once a
 character; texts with one are cut by the tokenizer's own pattern.
 
 Defined cases: null text is empty and has 0 tokens; the tokenizer's added tokens inside a text
-count as one token each, as is its default.
+count as one token each, as is its default, and no cut falls inside one; repeated rows are counted
+each; doc_ids may be of any type; other columns, of any name, are ignored; an empty table gives no
+rows; memory for a long text is its pieces'.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import json
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,7 +58,11 @@ class Counts(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        n = self[piece] = self.bpe.prefix_counts(piece.encode("utf-8", "surrogatepass"))[-1]
+            self.bpe.kept.clear()
+        counts = self.bpe.prefix_counts(piece.encode("utf-8", "surrogatepass"))
+        n = self[piece] = counts[-1]
+        if n > 1:
+            self.bpe.kept[piece] = array("i", counts)
         return n
 
 
@@ -80,6 +90,8 @@ class PrefixBpe:
         self.pattern = regex.compile(PATTERN)
         self.tokenizer = Tokenizer.from_file(path)
         self.counts = Counts(self)
+        #: Counts of all prefixes of pieces of several tokens.
+        self.kept: dict[str, array] = {}
         self.same: set[str] = set(map(chr, range(128)))
         self.other: set[str] = set()
         self._pairs: dict[tuple[int, int], bool] = {}
@@ -169,56 +181,98 @@ class PrefixBpe:
     def count(self, text: str | None) -> int:
         return sum(1 if special else sum(map(self.counts.__getitem__, self.pieces(s))) for special, s in self.parts(text or ""))
 
+    def inside(self, piece: str, i: int) -> int:
+        """Tokens of a piece's first characters."""
+        if self.counts[piece] == 1:
+            return min(i, 1) if i in (0, len(piece)) else self.prefix_counts(piece[:i].encode("utf-8", "surrogatepass"))[-1]
+        counts = self.kept.get(piece)
+        if counts is None:
+            counts = self.prefix_counts(piece.encode("utf-8", "surrogatepass"))
+        return counts[len(piece[:i].encode("utf-8", "surrogatepass"))]
+
+    def fit(self, text: str | None, limit: int) -> tuple[int, int]:
+        """(tokens of the text, characters of its longest prefix that has ``limit`` tokens at most)."""
+        text = text or ""
+        total, at, chars = 0, 0, None
+        for special, s in self.parts(text):
+            pieces = None if special else self.pieces(s)
+            n = 1 if special else sum(map(self.counts.__getitem__, pieces))
+            if chars is None and total + n > limit:
+                chars = at + (0 if special else Prefixes(self, s, pieces, limit - total).longest(limit - total))
+            total += n
+            at += len(s)
+        return total, len(text) if chars is None else chars
+
     def prefixes(self, text: str) -> Prefixes:
         return Prefixes(self, text)
 
 
+#: Pieces of which a beginning is not one piece (fixed values of the pattern).
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
+
+
 class Prefixes:
-    """Exact token counts of all prefixes of one text without added tokens."""
+    """Exact token counts of all prefixes of one text without added tokens; of those up to ``most`` tokens, if given."""
 
-    def __init__(self, bpe: PrefixBpe, text: str):
+    def __init__(self, bpe: PrefixBpe, text: str, pieces: list[str] | None = None, most: int | None = None):
         self.bpe, self.text = bpe, text
-        self.cut = bpe.pieces(text)
-        self.ends = list(itertools.accumulate(map(len, self.cut)))
-        self.sums = list(itertools.accumulate(map(bpe.counts.__getitem__, self.cut)))
+        self.cut, self.ends, self.sums = [], [], []
+        end = total = 0
+        for p in bpe.pieces(text) if pieces is None else pieces:
+            end += len(p)
+            total += bpe.counts[p]
+            self.cut.append(p)
+            self.ends.append(end)
+            self.sums.append(total)
+            if most is not None and total > most:
+                break
 
     def at(self, i: int) -> int:
-        """Tokens of text[:i]. Only the piece at the cut is looked into, with white space right before it."""
-        k = bisect.bisect_left(self.ends, i)
+        """Tokens of text[:i]."""
         if i <= 0:
             return 0
+        k = bisect.bisect_left(self.ends, i)
+        piece = self.cut[k]
+        start, before = (self.ends[k - 1], self.sums[k - 1]) if k else (0, 0)
+        if i == self.ends[k]:
+            return self.sums[k]
+        if not self.text[i - 1].isspace() and piece not in CONTRACTIONS:
+            return before + self.bpe.inside(piece, i - start)
+        # White space at the end of a text is one piece, whatever follows it in the whole.
         while k > 0 and self.text[self.ends[k - 1] - 1].isspace():
             k -= 1
         start, before = (self.ends[k - 1], self.sums[k - 1]) if k else (0, 0)
-        tail = self.bpe.pieces(self.text[start:i])
-        return before + sum(self.bpe.prefix_counts(p.encode("utf-8", "surrogatepass"))[-1] for p in tail)
+        return before + sum(map(self.bpe.counts.__getitem__, self.bpe.pieces(self.text[start:i])))
 
     def longest(self, limit: int) -> int:
         """The greatest i with at(i) <= limit."""
         k = bisect.bisect_right(self.sums, limit)
         if k == len(self.cut):
-            return len(self.text)
-        i = self.ends[k]
-        while i > 0 and self.at(i) > limit:
-            i -= 1
-        return i
+            return self.ends[-1] if self.ends else 0
+        start = self.ends[k] - len(self.cut[k])
+        # Inside a piece of one token only white space can make a beginning cheaper, joined to what is before.
+        one = self.bpe.counts[self.cut[k]] == 1
+        return next((i for i in range(self.ends[k] - 1, start, -1) if (not one or self.text[i - 1].isspace()) and self.at(i) <= limit), start)
 
 
 _LOADED: dict[str, PrefixBpe] = {}
 
 
 def counted(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every document row."""
+    """doc_id, n_bytes, n_tokens, over_limit of every document row; and fit_chars, the length of its longest prefix within the limit."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _LOADED.get(path) or _LOADED.setdefault(path, PrefixBpe(path))
         for b in batches:
-            n = pa.array([bpe.count(t.as_py()) for t in b.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
+            found = [bpe.fit(t.as_py(), limit) for t in b.column(2)]
+            n, fit = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, fit], names=["doc_id", "n_bytes", "n_tokens", "fit_chars"])
 
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, fit_chars long").select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars"
+    )
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
