@@ -2,8 +2,10 @@
 
 Documents are dealt by a hash into blocks of about ``BLOCK_WORDS`` words within their source. A
 source whose target is ``c`` times its size and a rest takes every block ``c`` times, and for the
-rest blocks in a permuted order until the words are reached; the last of these is taken in part,
-document by document. That fixes, exactly, each source's quota of block draws. A binary tree over
+rest blocks in a permuted order until the words are reached. From the block where that is, on over
+``FILL`` blocks, documents are taken in the same order as long as they fit, longer ones being passed
+over, and one more if that is nearer: so a source misses its target by half the shortest document
+passed over at most. That fixes, exactly, each source's quota of block draws. A binary tree over
 the output shards splits the quotas: at each node the vector of quotas that goes left is drawn from
 a multivariate hypergeometric distribution, seeded by the node. A leaf needs only its own path, so
 leaves are computed independently, each giving the disjoint ranges of permuted draws that are its
@@ -14,7 +16,9 @@ block. Running totals over a source's blocks are taken in two levels of ``SPAN``
 
 Defined cases: null text has size 0; null source is a source, last in order; sources without words
 have target 0; repeated rows are separate rows with equal draws; reruns agree, whatever the
-partitioning.
+partitioning; doc_ids may be integers or text; other columns, of any name, are ignored or passed on;
+an empty table gives no rows; beyond ``MAX_SOURCES`` sources the query raises, as their targets are
+shares of one whole that the driver computes.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import table, text_hash, written, ws_words
+from cellweave.llm.common import free_names, own_columns, table, text_hash, written, ws_words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 4_000
+#: Blocks from which the end of a source's draws is picked by document.
+FILL = 12
 SHARD_WORDS = 50_000_000
 MIN_SHARDS = 8
 SPAN = 1000
@@ -86,6 +92,22 @@ def _leaves(quotas: list[int], shards: int):
     return draws
 
 
+def _filled(units: pd.DataFrame) -> pd.DataFrame:
+    """Of one source's documents at the end of its draws, those that are taken: at most FILL blocks' documents."""
+    units = units.sort_values(["place", "o"])
+    room = int(units["left_over"].iloc[0])
+    taken, shortest = [], None
+    for o, n in zip(units["o"], units["unit"]):
+        if n <= room:
+            room -= n
+            taken.append(o)
+        elif shortest is None or n < shortest[0]:
+            shortest = n, o
+    if shortest and 2 * room > shortest[0]:
+        taken.append(shortest[1])
+    return pd.DataFrame({"i": np.full(len(taken), units["i"].iloc[0], np.int32), "o": np.array(taken, np.int64)})
+
+
 def _order(salt: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(SEED + salt), *cols)
 
@@ -130,16 +152,13 @@ def mix(docs: DataFrame) -> DataFrame:
         .drop("head", "own", "span"),
         "blocks",
     )
-    # The block where the rest ends, one a source.
-    edges = blocks.where("before < rest and rest < before + words").select("i", "block", "place", (F.col("rest") - F.col("before")).alias("left_over"))
-    ends = {r.i: r.place + 1 for r in edges.collect()}
-    quota = [p[5] * p[4] + (ends.get(p[1], p[4] if p[6] >= p[2] > 0 else 0) if p[6] else 0) for p in plan]
-    whole = {p[1]: p for p in plan if p[6] and p[1] not in ends}
-    if whole:  # the rest ends exactly where a block does
-        last = blocks.where("rest > 0 and before + words = rest and words > 0").groupBy("i").agg(F.max("place").alias("p")).collect()
-        for r in last:
-            if r.i in whole:
-                quota[r.i] = whole[r.i][5] * whole[r.i][4] + r.p + 1
+    # The block where the rest ends, one a source; none if it ends with the last.
+    edges = written(
+        blocks.where("rest > 0 and words > 0 and before < rest and rest <= before + words").select("i", F.col("place").alias("edge"), (F.col("rest") - F.col("before")).alias("left_over")),
+        "edges",
+    )
+    ends = {r.i: r.edge for r in edges.collect()}
+    quota = [p[5] * p[4] + (min(p[4], ends[p[1]] + FILL) if p[1] in ends else 0) for p in plan]
     shards = max(MIN_SHARDS, -(-sum(r.s for r in totals) // SHARD_WORDS))
     leaves = spark.range(shards).mapInPandas(_leaves(quota, shards), "i int, draw long, shard int")
     copies = blocks.select("i", "block", "n", "a", "b", F.explode(F.expr("sequence(0, full)")).alias("copy"))
@@ -147,14 +166,15 @@ def mix(docs: DataFrame) -> DataFrame:
     drawn = copies.join(leaves, ["i", "draw"]).groupBy("i", "block").agg(
         F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("draws")
     )
-    out = rows.join(drawn, ["i", "block"], "left").join(F.broadcast(edges.drop("place")), ["i", "block"], "left")
-    # Of the last block, documents in hash order as long as the nearer total is with them.
-    upto = Window.partitionBy("i", "block").orderBy(_order(1, "doc_id", "th"), "doc_id", "th", "size").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    part = out.where("left_over is not null").withColumn("run", F.sum("size").over(upto) - F.col("size") / 2)
-    part = part.withColumn("draws", F.expr("filter(draws, x -> x.copy < full or run <= left_over)")).drop("run")
-    out = out.where("left_over is null").unionByName(part)
+    drawn = blocks.select("i", "block", "place").join(drawn, ["i", "block"], "left")
+    # MAX_SOURCES rows of edges at most.
+    out = rows.join(drawn, ["i", "block"], "left").join(F.broadcast(edges), "i", "left").withColumn("o", _order(1, "doc_id", "th"))
+    inside = F.coalesce((F.col("place") >= F.col("edge")) & (F.col("place") < F.col("edge") + FILL), F.lit(False))
+    part = out.where(inside)
+    units = part.where("size > 0").groupBy("i", "place", "o", "left_over").agg(F.sum("size").alias("unit"))
+    taken = units.groupBy("i").applyInPandas(_filled, "i int, o long").withColumn("fits", F.lit(True))
+    part = part.join(taken, ["i", "o"], "left").withColumn("draws", F.expr("filter(draws, x -> x.copy < full or coalesce(fits, false))"))
+    out = out.where(~inside).unionByName(part.drop("fits"))
     none = F.array().cast("array<struct<copy:int,shard:int>>")
     return out.select(
         "doc_id", "th", "size", "source_size", "target", F.coalesce("draws", none).alias("draws")
@@ -175,9 +195,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: a row for each taken copy, with the columns of ``docs``, its shard and its place there."""
     # Repeated rows share their draws.
-    marks = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "draws").dropDuplicates(["_d", "_t"])
-    out = docs.withColumn("_h", text_hash()).join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
-    out = out.select(*docs.columns, "_h", F.explode("draws").alias("_x"))
-    return out.withColumns(
-        {"mix_copy": F.col("_x.copy"), "mix_shard": F.col("_x.shard"), "mix_place": F.xxhash64(F.lit(SEED + 2), "_x.copy", "doc_id", "_h")}
-    ).select(*docs.columns, "mix_copy", "mix_shard", "mix_place")
+    d, t, own, x = free_names(docs, 4)
+    marks = mix(docs).where("copies > 0").select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("draws").alias(x)).dropDuplicates([d, t])
+    out = docs.withColumn(own, text_hash()).join(marks, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(t)))
+    out = out.select(*own_columns(docs), F.col(own), F.explode(x).alias(x))
+    # A column of these names is replaced.
+    more = {"mix_copy": F.col(f"{x}.copy"), "mix_shard": F.col(f"{x}.shard"), "mix_place": F.xxhash64(F.lit(SEED + 2), f"{x}.copy", "doc_id", own)}
+    out = out.select("*", *[c.alias(f"{x}{k}") for k, c in more.items()])
+    return out.select(*[c for n, c in zip(docs.columns, own_columns(docs)) if n.lower() not in more], *[F.col(f"{x}{k}").alias(k) for k in more])
