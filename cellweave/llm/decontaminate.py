@@ -8,11 +8,14 @@ position). What is left is checked against the text. Only terms that some window
 rarest are stored, since no other list is ever read.
 
 Sides are broadcast behind a count of their rows (``MAX_BROADCAST``); beyond it the same joins
-shuffle. Postings are joined by document and position, so no term's list meets in one task.
+shuffle. Postings are joined by document and position; only with more than ``MAX_BROADCAST`` terms in
+the benchmark are words joined by term, where both sides are written tables or plain scans and a
+frequent term is split by adaptive execution.
 
 Defined cases: null or wordless texts have no words and no hits; wordless items have no windows;
 items with equal ids are one item; an item with a null id counts towards hits but is not listed;
-equal document rows get equal results.
+equal document rows get equal results; ids may be integers or text; texts of any length are indexed
+whole; other columns, of any name, are ignored or passed on; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import guarded, table, terms, text_hash, written
+from cellweave.llm.common import guarded, keep_rows, table, terms, text_hash, written
 
 WINDOW = 10
 RAREST = 3
@@ -196,9 +199,5 @@ FROM dt LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window, columns unchanged."""
-    bad = written(
-        contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(),
-        "contaminated",
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
-    return docs.withColumn("_h", text_hash()).join(guarded(bad, bad.count(), MAX_BROADCAST), same, "left_anti").drop("_h")
+    bad = written(contamination(docs, items).where("contaminated").select("doc_id", "th").distinct(), "contaminated")
+    return keep_rows(docs, bad, "left_anti", bad.count(), MAX_BROADCAST)

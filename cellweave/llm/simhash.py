@@ -12,7 +12,8 @@ and no link between groups is lost. Components come from alternating large-star
 steps on written tables.
 
 Defined cases: null and empty texts have fingerprint zero; repeated rows share a component; null
-doc_ids take part in links and never are the smallest id unless a component has no other.
+doc_ids take part in links and never are the smallest id unless a component has no other; doc_ids may
+be integers or text; other columns, of any name, are ignored or passed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import table, text_hash, written
+from cellweave.llm.common import free_names, keep_rows, released, table, text_hash, written
 
 BITS = 64
 RADIUS = 2
@@ -173,7 +174,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the component's smallest node. Edges need not be distinct or ordered.
 
     Alternates large-star and small-star on written tables; each step keeps at most one edge a node
-    and neighbour, and hubs meet their neighbours only through a minimum and a join.
+    and neighbour. Minima are written before they are joined, so that both sides of the join are plain
+    exchanges and a hub's neighbours can be split over tasks.
     """
     ordered = lambda e: e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     now = written(ordered(edges), "edges")
@@ -181,15 +183,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: every neighbour above a node is tied to the smallest of its neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = written(ordered(large), "large")
+        released(now, least)
         # Small star: a node's smaller neighbours and itself are tied to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b"))
         )
         now = written(ordered(small), "small")
+        released(large, least)
         seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(v as decimal(38,0)))")).first()
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -201,9 +205,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     marks = written(fingerprints(docs), "fingerprints")
     fps = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(fps.select("fp")))
-    fps = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = fps.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marks.join(fps.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "th", "fp", "root", "component_id")
+    fps = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    # Written before each join, so that a component or a fingerprint of many can be split.
+    ids = written(fps.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
+    named = written(fps.select("fp", "root").join(ids, "root"), "named")
+    return marks.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +222,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: its smallest doc_id's (then smallest text hash's); nulls come last."""
     marks = written(grouped(docs), "groups")
     pick = marks.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("p"))
-    pick = pick.select(F.col("p.doc_id").alias("_id"), F.col("p.th").alias("_th"))
-    out = docs.withColumn("_h", text_hash()).join(
-        pick, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi"
-    )
+    out = keep_rows(docs, pick.select("p.doc_id", "p.th"), "left_semi")
     if not marks.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_h"])
-    return out.drop("_h")
+        (own,) = free_names(docs, 1)
+        out = out.withColumn(own, text_hash()).dropDuplicates(["doc_id", own]).drop(own)
+    return out

@@ -312,7 +312,7 @@ def test_mix_meets_targets_and_agrees(spark, monkeypatch, words):
         taken[of[r.doc_id]] += r.size * r.copies
         target[of[r.doc_id]] = r.target
     for s, t in target.items():
-        assert abs(taken[s] - t) <= 61, (s, taken[s], t)
+        assert abs(taken[s] - t) <= 10, (s, taken[s], t)
     again = mixing.mix(docs.repartition(7)).collect()
     assert Counter(map(str, first)) == Counter(map(str, again))
     out = mixing.mixed(docs)
@@ -362,3 +362,30 @@ def test_quality_of_hard_columns(spark):
     docs = spark.createDataFrame([(i, text(i), None, None, i, i, i, i) for i in range(90)], "doc_id long, text string, lang string, source string, grp long, th long, _h long, `a.b` long")
     out = quality.keep_good(docs)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == set(range(90))
+
+
+def test_stages_pass_on_columns_of_any_name_and_text_ids(spark):
+    names = ["_h", "_id", "_th", "_d", "_t", "_x0", "_X1", "th", "id", "dropped", "n_lines", "mix_copy", "draws", "i", "o", "place", "root", "fp", "a.b", "term"]
+    texts = [LONG, LONG.upper(), "quark gluon lepton " * 9, None, "", "pion kaon " * 40]
+    rows = [(f"d{k}", t, "en", "s", *range(len(names))) for k, t in enumerate(texts)] + [("d0", LONG, "en", "s", *range(len(names)))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    items = spark.createDataFrame([("q", "gluon lepton quark")], "item_id string, text string")
+    one = simhash.keep_one(docs)
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {"d0", "d2", "d3", "d5"}
+    clean = decontaminate.drop_contaminated(docs, items)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == ["d0", "d0", "d1", "d3", "d4", "d5"]
+    mix = mixing.mixed(docs)
+    assert mix.columns == [*(c for c in docs.columns if c != "mix_copy"), "mix_copy", "mix_shard", "mix_place"]
+    assert all(r._h == 0 and r["a.b"] == names.index("a.b") for r in mix.collect())
+
+
+def test_written_tables_are_released(spark):
+    import os
+
+    from cellweave.llm import common
+
+    t = common.written(spark.range(3), "t")
+    path = t._written.removeprefix("file:")
+    assert os.path.isdir(path)
+    common.released(t)
+    assert not os.path.exists(path)

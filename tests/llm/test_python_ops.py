@@ -353,8 +353,18 @@ def test_every_prefix(bpe):
         p = bpe.prefixes(t)
         want = [len(bpe.tokenizer.encode(t[:i], add_special_tokens=False)) for i in range(len(t) + 1)]
         assert [p.at(i) for i in range(len(t) + 1)] == want
-        for limit in (0, 1, 3, 7):
-            assert want[p.longest(limit)] <= limit
+        for limit in range(8):
+            assert p.longest(limit) == max(i for i, n in enumerate(want) if n <= limit)
+            assert bpe.fit(t, limit) == (want[-1], p.longest(limit))
+
+
+def test_fit_looks_prefixes_up(bpe, monkeypatch):
+    """Once a text is counted, no limit encodes anything again."""
+    text = "Pseudopneumonoultramicroscopic words and numbers 1234567890 " * 40
+    total, _ = bpe.fit(text, 10)
+    want = {limit: max(i for i in range(len(text) + 1) if len(bpe.tokenizer.encode(text[:i], add_special_tokens=False)) <= limit) for limit in (5, 77, 200)}
+    monkeypatch.setattr(bpe, "prefix_counts", None)
+    assert {limit: bpe.fit(text, limit) for limit in want} == {limit: (total, i) for limit, i in want.items()}
 
 
 def test_token_query(spark, bpe):
@@ -363,3 +373,5 @@ def test_token_query(spark, bpe):
     for i, t in enumerate(texts):
         n = len(bpe.tokenizer.encode(t or "", add_special_tokens=False))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100)
+        assert len(bpe.tokenizer.encode((t or "")[: got[i].fit_chars], add_special_tokens=False)) <= 100
+        assert got[i].fit_chars == len(t or "") if n <= 100 else 0 < got[i].fit_chars < len(t)
