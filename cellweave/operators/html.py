@@ -16,6 +16,10 @@ MIN_ROWS, MAX_ROWS, MIN_COLS, MAX_COLS, MIN_SHARE = 2, 100, 2, 50, 0.3
 BREAKS = frozenset("p div br li h1 h2 h3 h4 h5 h6 section article header footer ul ol blockquote pre hr".split())
 
 
+#: The most that a span may be, as HTML has it (fixed values).
+SPANS = (("rowspan", 65534), ("colspan", 1000))
+
+
 class _Table:
     def __init__(self):
         self.rows: list[list[tuple[bool, int, int, str]]] = []
@@ -52,7 +56,7 @@ class PageParser(HTMLParser):
                 t.cell = None
             elif tag in ("td", "th"):
                 a = dict(attrs)
-                span = [int(v) if (v := a.get(k) or "1").isdigit() and int(v) > 0 else 1 for k in ("rowspan", "colspan")]
+                span = [min(int(v), most) if (v := a.get(k) or "1").isdecimal() and int(v) > 0 else 1 for k, most in SPANS]
                 if not t.rows:
                     t.rows.append([])
                 t.cell = [tag == "th", *span, []]

@@ -18,7 +18,10 @@ from cellweave.operators import graph, html, recognise, virtual
         ("from $1,200 to $1,300 million", ["$1,200 to $1,300 million"]),
         ("about 12-13% and 100 km per hour", ["100 km per hour", "12-13%"]),
         ("see table 2.1 and section 3, 45 minutes", []),
-        ("call +49 123 4567 89 at 10:30 pm [12]", []),
+        ("ring +31 20 555 7788 at 9:45 pm [12]", []),
+        ("Sales of 14 Feb 2011, 3/4/2012 and 2013-07; sec. 3.1 to 3.4", []),
+        ("a 20\u201325% gain, \u20ac40 to \u20ac45 bn, 60 \u00b1 5 mg per day, 1.5 m/s", ["60 \u00b1 5 mg per day", "1.5 m/s", "20\u201325%", "\u20ac40 to \u20ac45 bn"]),
+        ("x86 and 4th of 1.2.3 on page 7. then 12 percent of 30 thousand", ["12 percent", "30 thousand"]),
         ("won 2:1 with 17 goals", ["2:1", "17"]),
         ("", []),
         (None, []),
@@ -32,8 +35,18 @@ def test_recogniser_offsets_and_mask():
     s = "a\xa0value of €12.5k, 30 per cent and 7 m per s on 12/11/2013"
     for start, stop, surface in recognise.mentions(s):
         assert s.replace("\xa0", " ")[start:stop].strip() == surface
-    found = []
-    assert len(recognise.mask(s, recognise._COMPILED[1][1][5], found)) == len(s) and found
+
+
+def test_recogniser_on_plain_numbers_matches_brute_force():
+    """Texts of words and numbers alone: every number of two digits or more, once, in order."""
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(200):
+        parts = [rnd.choice(["sold", "cars", "were", "x7", "7x", str(rnd.randrange(10)), str(rnd.randrange(10, 99)), f"{rnd.randrange(1, 99)},{rnd.randrange(100, 999)}"]) for _ in range(12)]
+        text = " | ".join(parts)
+        want = [x for x in parts if x.replace(",", "").isdecimal() and len(x) > 1]
+        assert [x for _, _, x in recognise.mentions(text)] == want
 
 
 SPANS = "<table><tr><th>h<td rowspan=2>a<br>b<td colspan='2'>c<tr><td>d<td>e<td>f</table>"
@@ -50,6 +63,8 @@ def test_nested_tables_and_bad_pages():
     p = html.parse("<title> T\n x</title><table><tr><td><table><caption>In</caption><tr><td>1<td>2</table></table><script>s</script>z")
     assert (p["title"], p["content"], len(p["tables"]), p["tables"][0]["caption"]) == ("T x", "z", 1, "in")
     assert html.parse(None) == {"title": "", "content": "", "tables": []}
+    assert html.parse("<table><tr><td colspan=\u00b2>1</table>z")["content"] == "z"
+    assert len(html.parse("<table><tr><td colspan=4000000>1<td>2</table>")["tables"][0]["cells"]) == 1001
     assert html.parse("<table><tr><td rowspan=x>1")["tables"][0]["cells"] == [(0, 0, 1, False, "1")]
 
 
