@@ -306,9 +306,9 @@ add(
 
 
 def sentence_of(s, d) -> DataFrame:
-    """Assigns the token offsets of a text to its sentences: an interval join within the document."""
+    """Assigns the offsets of a text to its sentences: an interval join within the document."""
     spans = QUERIES["prj_12_sentences"](s, d)
-    points = table(s, d, "benchmark").select("item_id", F.explode(F.expr("sequence(0, greatest(length(text) - 1, 0), 25)")).alias("at"))
+    points = table(s, d, "benchmark").select("item_id", F.explode(F.expr("sequence(0, greatest(length(text) - 1, 0))")).alias("at"))
     return points.join(spans, "item_id").where("at >= start and at < stop").select("item_id", "at", "n")
 
 
