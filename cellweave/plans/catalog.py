@@ -299,9 +299,15 @@ add("flt_05_block_admission", lambda s, d: blocks_of(s, d).select("doc_id", "blo
 listing("prj_07_table_references", lambda c: T.table_references(F.concat(F.col(c), F.lit(" see Table 1.2 and table 3"))), r"regexp_extract_all(text || ' see Table 1.2 and table 3', '[tT]able\.? ?\d+(?:\.\d+)*', 0)")
 listing("prj_11_single_pattern_mentions", lambda c: F.filter(F.regexp_extract_all(F.col(c), F.lit(r"\d+(?:[.,]\d+)*%?"), F.lit(0)), lambda x: ~F.rlike(x, F.lit(r"^(?:19|20)\d\d$"))), r"list_filter(regexp_extract_all(text, '\d+(?:[.,]\d+)*%?', 0), lambda x: NOT regexp_full_match(x, '(?:19|20)\d\d'))")
 listing("dtm_01_ip_and_phone_patterns", lambda c: F.regexp_extract_all(F.col(c), F.lit(r"\d{1,3}(?:\.\d{1,3}){3}|\(\d{3}\) \d{3}-\d{4}"), F.lit(0)), r"regexp_extract_all(text, '\d{1,3}(?:\.\d{1,3}){3}|\(\d{3}\) \d{3}-\d{4}', 0)")
+#: Each place of a text, and whether a sentence begins there.
+BREAKS = r"""
+WITH t AS (SELECT item_id, text, unnest(range(0, greatest(length(text), 1))) AS p FROM benchmark WHERE text IS NOT NULL),
+b AS (SELECT item_id, text, CAST(p AS INT) AS pos, CAST(p >= 2 AND regexp_matches(substr(text, p - 1, 3), '^[.!?][\x20\x09-\x0D][^\x20\x09-\x0D]') AS INT) AS br FROM t)
+"""
 add(
     "prj_12_sentences",
     lambda s, d: table(s, d, "benchmark").select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "span")).select("item_id", "n", "span.start", "span.stop"),
+    BREAKS + 'SELECT item_id, CAST(row_number() OVER w - 1 AS INT) AS n, pos AS "start", CAST(coalesce(lead(pos) OVER w, length(text)) AS INT) AS "stop" FROM b WHERE pos = 0 OR br = 1 WINDOW w AS (PARTITION BY item_id ORDER BY pos)',
 )
 
 
@@ -312,7 +318,7 @@ def sentence_of(s, d) -> DataFrame:
     return points.join(spans, "item_id").where("at >= start and at < stop").select("item_id", "at", "n")
 
 
-add("prj_15_sentence_assignment", sentence_of)
+add("prj_15_sentence_assignment", sentence_of, BREAKS + 'SELECT item_id, pos AS "at", CAST(sum(br) OVER (PARTITION BY item_id ORDER BY pos) AS INT) AS n FROM b WHERE pos < length(text)')
 listing("flt_14_stop_word_filter", lambda c: T.drop_stop_words(T.tokens(c)), f"list_filter({TOKENS}, lambda t: length(t) > 1 AND NOT list_contains({STOP}, t))", "benchmark", "item_id")
 add(
     "str_21_tsv_line",

@@ -11,7 +11,7 @@ from cellweave.functions import text as T
 from cellweave.operators import evaluate, graph, html, model, recognise
 from cellweave.plans import align
 from cellweave.plans import inputs as I
-from cellweave.plans.catalog import TOKENS, add
+from cellweave.plans.catalog import SCALE, TOKENS, UNIT, VALUE, add
 from cellweave.plans.catalog_sources import back, features, grid_of, report, table_pages
 from cellweave.plans.catalog_tables import OUT, VP, outcomes, value_pairs
 from cellweave.plans.inputs import table, with_
@@ -21,11 +21,14 @@ add("prj_21_pair_feature_row", lambda s, d: value_pairs(s, d).select(F.concat_ws
 add(
     "prj_22_mention_feature_row",
     lambda s, d: I.surfaces(s, d).select("id", Q.precision("surface").alias("prec"), Q.scale_of("surface").alias("scale"), F.coalesce(Q.unit_of("surface"), F.lit("None")).alias("unit")).join(I.priors(s, d).groupBy(F.col("mx").alias("id")).agg(F.max("gt").alias("gold")), "id", "left").select("id", "prec", "scale", "unit", F.coalesce("gold", F.lit(0)).alias("gold")).groupBy("gold", "unit").agg(F.count("*").alias("n")),
+    with_("surfaces", "priors") + f"""SELECT gold, unit, count(*) AS n FROM (
+      SELECT s.id, coalesce(g.gold, 0) AS gold, coalesce({UNIT}, 'None') AS unit
+      FROM surfaces s LEFT JOIN (SELECT mx AS id, max(gt) AS gold FROM priors GROUP BY mx) g ON s.id = g.id) GROUP BY gold, unit""",
 )
 add("set_05_token_union", lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_union(T.tokens("text"), F.array(F.lit("extra"), F.lit("the")))), "|").alias("x")), f"SELECT item_id, array_to_string(list_sort(list_distinct(list_concat({TOKENS}, ['extra', 'the']))), '|') AS x FROM benchmark")
 add("arr_01_slice_concat_sort", lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(F.concat(F.slice(T.tokens("text"), 1, 3), F.slice(T.tokens("text"), 2, 2))), "|").alias("x"), F.array_contains(T.tokens("text"), "the").alias("has")), f"SELECT item_id, array_to_string(list_sort(list_concat({TOKENS}[1:3], {TOKENS}[2:3])), '|') AS x, list_contains({TOKENS}, 'the') AS has FROM benchmark")
 add("arr_02_flatten", lambda s, d: table(s, d, "benchmark").select("item_id", F.size(F.flatten(F.transform(T.tokens("text"), lambda t: F.split(t, "e")))).alias("n")), f"SELECT item_id, CAST(len(flatten(list_transform({TOKENS}, lambda t: string_split(t, 'e')))) AS INT) AS n FROM benchmark")
-add("map_01_feature_struct", lambda s, d: I.surfaces(s, d).select("id", F.struct(Q.scale_of("surface").alias("scale"), Q.precision("surface").alias("prec")).alias("f")).select("id", "f.prec", F.col("f.scale").cast("long").alias("scale")).groupBy("prec", "scale").agg(F.count("*").alias("n")))
+add("map_01_feature_struct", lambda s, d: I.surfaces(s, d).select("id", F.struct(Q.scale_of("surface").alias("scale"), Q.precision("surface").alias("prec")).alias("f")).select("id", "f.prec", F.col("f.scale").cast("long").alias("scale")).groupBy("prec", "scale").agg(F.count("*").alias("n")), with_("surfaces") + rf"SELECT length(regexp_extract({VALUE}, '\.(\d+)$', 1))::INT AS prec, CAST({SCALE} AS BIGINT) AS scale, count(*) AS n FROM surfaces GROUP BY 1, 2")
 add("ctx_02_cell_unit", lambda s, d: html.with_context(html.cell_mentions(grid_of(s, d)), grid_of(s, d)).select("page_id", "cell_id", "unit"), with_("grid") + "SELECT table_id AS page_id, CAST((r - 1) * (SELECT max(c) FROM grid g WHERE g.table_id = grid.table_id) + c AS INT) AS cell_id, '$' AS unit FROM grid")
 nested = lambda s, d: table_pages(s, d).select("page_id", F.concat(F.lit("<table><tr><td>outer"), "html", F.lit("</table>")).alias("html"))
 add("flt_06_nested_tables", lambda s, d: html.parsed(nested(s, d)).select("page_id", F.size("tables").alias("n")), with_("grid") + "SELECT DISTINCT table_id AS page_id, 1 AS n FROM grid")
