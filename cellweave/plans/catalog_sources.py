@@ -266,7 +266,7 @@ add(
     with_("surfaces") + f"SELECT id % 100 AS g, count(*) FILTER (WHERE jaro_similarity(a, b) > 0.9) AS n FROM {SURF2} GROUP BY 1",
 )
 add("ctx_10_gold_relation", lambda s, d: I.priors(s, d).select("mx").distinct().join(pairs.first_gold(I.priors(s, d).where("gt = 1").select("mx", "func", F.col("mt").alias("seq")), ["mx"]), "mx", "left").select("mx", F.coalesce("func", F.lit("None")).alias("rel")), with_("priors") + "SELECT DISTINCT p.mx, coalesce(f.func, 'None') AS rel FROM priors p LEFT JOIN (SELECT mx, func FROM priors WHERE gt = 1 QUALIFY row_number() OVER (PARTITION BY mx ORDER BY CAST(func = 'same' AS INT), mt) = 1) f ON p.mx = f.mx")
-add("flt_17_caption_terms", lambda s, d: parts(s, d).where(F.exists(F.split("p_type", " "), lambda t: F.contains(F.lower(t), F.lit("steel")))).select("p_partkey"), "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'steel')")
+add("flt_17_caption_terms", lambda s, d: parts(s, d).where(F.exists(F.split("p_type", " "), lambda t: F.contains(F.lower(t), F.lit("stand")))).select("p_partkey"), "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'stand')")
 add("flt_16_selection", lambda s, d: table(s, d, "documents").where(F.size(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))) > 0).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\d+')")
 add("srt_02_mentions_by_offset", lambda s, d: items(s, d).select("l_orderkey", "l_partkey", "l_suppkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")).alias("seq")), "SELECT l_orderkey, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS INT) AS seq FROM lineitem")
 add("prj_18_all_edges", lambda s, d: I.edges(s, d).select(F.concat_ws("\t", F.col("doc").cast("string"), "src", "dst").alias("line")), with_("edges") + "SELECT concat_ws(chr(9), CAST(doc AS VARCHAR), src, dst) AS line FROM edges")
